@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("p1_generated", "p3_near", "p6_leaks", "p8_consistent")
+MODULES = ("p1_generated", "p3_near", "p5_syntax", "p6_leaks", "p8_consistent")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
