@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("p1_generated", "p2_credentials", "p3_near", "p5_syntax", "p6_leaks", "p8_consistent")
+MODULES = ("p1_generated", "p2_credentials", "p3_near", "p4_docs", "p5_syntax", "p6_leaks", "p7_mixture", "p8_consistent")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
