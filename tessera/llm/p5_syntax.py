@@ -396,7 +396,7 @@ def invalid_rates(files: DataFrame, meta: DataFrame) -> DataFrame:
     chunks = meta.groupBy("repo_id", "path").agg(F.max("num_chunks").alias("num_chunks"))
     joined = one.join(chunks, ["repo_id", "path"], "left")
     return joined.groupBy("repo_id", "language").agg(
-        F.count("*").alias("files"), F.sum("invalid").alias("invalid"), F.round(F.avg("invalid"), 6).alias("rate"), F.count_if("invalid = 1 and num_chunks > 0").alias("invalid_with_chunks")
+        F.count("*").alias("files"), F.sum("invalid").alias("invalid"), F.round(F.avg("invalid"), 6).alias("rate"), F.count_if((F.col("invalid") == 1) & (F.col("num_chunks") > 0)).alias("invalid_with_chunks")
     )
 
 

@@ -286,7 +286,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By item, how many documents hold it, fully or nearly."""
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"), near=True)
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if("edits = 0").alias("verbatim"), F.max("common_run").alias("longest_run"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if(F.col("edits") == 0).alias("verbatim"), F.max("common_run").alias("longest_run"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found, "p6_items": p6_items}
