@@ -206,14 +206,14 @@ def classify_files(files: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["file_id", "reasons"])
 
     rows = files.select(F.col("file_id").cast("long").alias("file_id"), F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content"))
-    rows = spread(rows).where("file_id is not null and content is not null and trim(content) <> ''")
+    rows = spread(rows).where(F.col("file_id").isNotNull() & F.col("content").rlike(r"\S"))
     found = map_arrow(rows, work, OUT, "content")
     return found.groupBy("file_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"))
 
 
 def hand_written(files: DataFrame) -> DataFrame:
     """The rows of ``files`` that remain to be parsed: with content, and not reported by ``classify_files``."""
-    return files.where("content is not null and trim(content) <> ''").join(classify_files(files).select("file_id"), "file_id", "left_anti")
+    return files.where(F.col("content").rlike(r"\S")).join(classify_files(files).select("file_id"), "file_id", "left_anti")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

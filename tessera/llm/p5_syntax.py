@@ -378,7 +378,7 @@ def check_files(files: DataFrame) -> DataFrame:
         F.col("file_id").cast("long").alias("file_id"), F.col("repo_id").cast("string").alias("repo_id"), F.col("path").cast("string").alias("path"),
         language_column(F.col("language"), F.col("path")).alias("language"), F.col("content").cast("string").alias("content"),
     )
-    rows = spread(rows).where("file_id is not null and content is not null and trim(content) <> ''")
+    rows = spread(rows).where(F.col("file_id").isNotNull() & F.col("content").rlike(r"\S"))
     return map_arrow(rows, work, OUT, "content")
 
 
