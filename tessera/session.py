@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -42,13 +41,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_OWN_DIR: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-", dir=os.environ.get("TMPDIR"))
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if at:
+        return at
+    if not _OWN_DIR:
+        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return _OWN_DIR[0]
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
