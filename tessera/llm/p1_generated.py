@@ -212,8 +212,8 @@ def classify_files(files: DataFrame) -> DataFrame:
 
 
 def hand_written(files: DataFrame) -> DataFrame:
-    """The rows of ``files`` that remain to be parsed: with content, and not reported by ``classify_files``."""
-    return files.where(F.col("content").rlike(r"\S")).join(classify_files(files).select("file_id"), "file_id", "left_anti")
+    """The rows of ``files`` that remain to be parsed: with a file_id and content, and not reported by ``classify_files``."""
+    return files.where(F.col("file_id").isNotNull() & F.col("content").rlike(r"\S")).join(classify_files(files).select("file_id"), "file_id", "left_anti")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
