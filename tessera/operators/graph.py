@@ -47,6 +47,13 @@ def receivers(chunks: DataFrame) -> DataFrame:
     return heads.join(to, ["repo_id", "name"]).where("src <> dst").select("src", "dst", F.lit("implements").alias("type"), F.lit("receiver").alias("via"))
 
 
+def imports(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, dst, type): from chunks to the callable chunks of their repository that they import by name (src, repo_id, name)."""
+    callable_ = chunks.where(F.col("kind").isin(*CALLABLE)).select("repo_id", F.col("symbol_name").alias("name"), F.col("chunk_id").alias("dst"))
+    found = names.join(callable_, ["repo_id", "name"]).where("src <> dst")
+    return found.select("src", "dst", F.lit("imports").alias("type"), F.lit("imports").alias("via")).distinct()
+
+
 def strongest(edges: DataFrame) -> DataFrame:
     """One edge (src, dst, type) for each pair: of the strongest kind."""
     rank = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
@@ -54,14 +61,10 @@ def strongest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(best)
 
 
-def build(chunks: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """All edges of the graph; ``imports`` is (src, repo_id, name) of imported names, if they are known."""
+def build(chunks: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """All edges of the graph; ``names`` is (src, repo_id, name) of imported names, if they are known."""
     edges = containment(chunks).unionByName(calls(chunks)).unionByName(receivers(chunks))
-    if imports is not None:
-        callable_ = chunks.where(F.col("kind").isin(*CALLABLE)).select("repo_id", F.col("symbol_name").alias("name"), F.col("chunk_id").alias("dst"))
-        found = imports.join(callable_, ["repo_id", "name"]).where("src <> dst")
-        edges = edges.unionByName(found.select("src", "dst", F.lit("imports").alias("type"), F.lit("imports").alias("via")).distinct())
-    return strongest(edges)
+    return strongest(edges.unionByName(imports(chunks, names)) if names is not None else edges)
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import bm25, chunking, drift, fusion, graph, grounding, store, vectors
+from tessera.operators import bm25, chunking, drift, fusion, graph, grounding, parsing, store, vectors
 from tessera.session import spread, table, written
 from tessera.sources import files as src
 from tessera.streaming import progress
@@ -110,7 +110,9 @@ sites as (select distinct chunk_id src, repo_id, unnest(regexp_extract_all(body,
 call as (select distinct src, c.chunk_id dst from sites s join chunks c on c.repo_id = s.repo_id and c.symbol_name = s.name where c.kind in ('function', 'method', 'constructor') and src <> c.chunk_id),
 named as (select repo_id, symbol_name, max(chunk_id) dst from chunks where kind in ('class', 'struct', 'interface', 'impl', 'trait', 'type', 'enum') group by 1, 2),
 recv as (select c.chunk_id src, n.dst from chunks c join named n on n.repo_id = c.repo_id and n.symbol_name = regexp_extract(c.body, '^func \([A-Za-z_][A-Za-z0-9_]* \*?([A-Za-z_][A-Za-z0-9_]*)\)', 1) where c.kind = 'method' and c.chunk_id <> n.dst),
-edges as materialized (select src, dst, arg_min(type, p) type from (select src, dst, 'calls' type, 1 p from call union all select src, dst, 'implements', 2 from cont union all select src, dst, 'implements', 3 from recv) group by 1, 2)"""
+inames as (select chunk_id src, repo_id, array_to_string(list_concat(regexp_extract_all(body, 'IMPORT', 1), regexp_extract_all(body, 'IMPORT', 2), regexp_extract_all(body, 'IMPORT', 3), regexp_extract_all(body, 'IMPORT', 4), regexp_extract_all(body, 'IMPORT', 5)), ' ') t from chunks),
+imp as (select distinct src, c.chunk_id dst from (select src, repo_id, unnest(regexp_extract_all(t, '[A-Za-z_]\w*')) name from inames) i join chunks c on c.repo_id = i.repo_id and c.symbol_name = i.name where c.kind in ('function', 'method', 'constructor') and src <> c.chunk_id),
+edges as materialized (select src, dst, arg_min(type, p) type from (select src, dst, 'imports' type, 0 p from imp union all select src, dst, 'calls', 1 from call union all select src, dst, 'implements', 2 from cont union all select src, dst, 'implements', 3 from recv) group by 1, 2)""".replace("IMPORT", parsing.IMPORT)
 
 
 # --- text -----------------------------------------------------------------------------------------------------------
@@ -234,6 +236,14 @@ def symbol_spans(spark: SparkSession, d: str) -> DataFrame:
     return p.select("file_path", "symbol_name", "start_line", "end_line", F.size(F.split("body", "\n")).cast("long").alias("n_lines"))
 
 
+@query()
+def parse_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every file parsed anew; parsed_chunks holds what the reference made of the same files."""
+    files = table(spark, d, "walked_files").select("path", "content")
+    out = parsing.parse_files(files.distinct())
+    return out.select("path", "symbol_name", "symbol_type", "start_line", "end_line")
+
+
 @query()
 def greedy_windows(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "parsed_chunks").where("parsed_id is not null").select("parsed_id", "file_path", "symbol_name", "body", "start_line").distinct()
@@ -344,12 +354,26 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.calls(chunks(spark, d)).select("src", "dst")
 
 
+def _imports(c: DataFrame) -> DataFrame:
+    return c.select(F.col("chunk_id").alias("src"), "repo_id", F.explode(parsing.imported_names()).alias("name"))
+
+
+def _graph(c: DataFrame) -> DataFrame:
+    return graph.build(c, _imports(c))
+
+
+@query(f"with {CHUNKS}, {EDGES} select src, dst from imp")
+def import_edges(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks(spark, d)
+    return graph.imports(c, _imports(c)).select("src", "dst")
+
+
 @query(f"with {CHUNKS}, {EDGES} select src, dst, type from edges")
 def symbol_graph(spark: SparkSession, d: str) -> DataFrame:
-    return graph.build(written(chunks(spark, d), "graph-chunks"))
+    return _graph(written(chunks(spark, d), "graph-chunks"))
 
 
-SEEDS = "seeds as (select distinct c.chunk_id seed from chunks c join eval_cases e on c.file_path = e.expected_file and c.symbol_name = e.expected_symbol)"
+SEEDS = "seeds as (select distinct chunk_id seed from chunks where kind in ('class', 'impl', 'struct'))"
 
 
 @query(f"""with recursive {CHUNKS}, {EDGES}, {SEEDS}, both_ways as (select src, dst from edges union select dst, src from edges),
@@ -357,9 +381,8 @@ walk(seed, id, depth) as (select seed, seed, 0::bigint from seeds union select s
 select seed, id, min(depth) depth from walk where id <> seed group by 1, 2""")
 def khop_neighbours(spark: SparkSession, d: str) -> DataFrame:
     c = written(chunks(spark, d), "graph-chunks")
-    e = table(spark, d, "eval_cases").where("expected_symbol is not null").select(F.col("expected_file").alias("file_path"), F.col("expected_symbol").alias("symbol_name"))
-    seeds = c.join(e, ["file_path", "symbol_name"], "left_semi").select(F.col("chunk_id").alias("seed"))
-    return graph.neighbours(written(graph.build(c), "edges"), seeds, 2)
+    seeds = c.where(F.col("kind").isin("class", "impl", "struct")).select(F.col("chunk_id").alias("seed"))
+    return graph.neighbours(written(_graph(c), "edges"), seeds, 2)
 
 
 @query(f"""with {RERANKED}, {EDGES}, both_ways as (select src, dst from edges union select dst, src from edges),
@@ -367,7 +390,7 @@ fresh as (select query_id, dst id, min(rank) seed_rank from reranked join both_w
 every as (select query_id, id, 0 part, rank seed_rank from reranked union all select query_id, id, 1, seed_rank from fresh)
 select query_id, id, rank, part = 0 seed from (select *, row_number() over (partition by query_id order by part, seed_rank, id) rank from every) where rank <= 12""")
 def graph_expand(spark: SparkSession, d: str) -> DataFrame:
-    edges = written(graph.build(written(chunks(spark, d), "graph-chunks")), "edges")
+    edges = written(_graph(written(chunks(spark, d), "graph-chunks")), "edges")
     return graph.expand(edges, written(_reranked(spark, d).select("query_id", "id", "rank"), "reranked"))
 
 
@@ -383,7 +406,7 @@ def candidate_funnel(spark: SparkSession, d: str) -> DataFrame:
     text = fusion.preview(F.col("file_path"), F.col("symbol_name"), F.col("signature"), F.col("body"))
     rows = fused.join(c.select(F.col("chunk_id").alias("id"), text.alias("text")), "id").join(asked(spark, d).withColumnRenamed("text", "query"), "query_id")
     best = written(fusion.rerank(rows, 8).select("query_id", "id", "rank"), "reranked")
-    grown = graph.expand(written(graph.build(c), "edges"), best)
+    grown = graph.expand(written(_graph(c), "edges"), best)
     out = asked(spark, d).select("query_id")
     for name, stage in (("n_dense", dense), ("n_words", words), ("n_fused", fused), ("n_reranked", best), ("n_expanded", grown)):
         out = out.join(stage.groupBy("query_id").agg(F.count("*").alias(name)), "query_id", "left")

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["cut_lineage", "get_spark", "shared_dir", "spread", "table", "written"]
+__all__ = ["cut_lineage", "get_spark", "plain_unions", "shared_dir", "spread", "table", "written"]
 
 
 def get_spark(app: str = "tessera", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -17,6 +17,7 @@ def get_spark(app: str = "tessera", cpus: int | str = "*", shuffle_partitions: i
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -26,8 +27,18 @@ def get_spark(app: str = "tessera", cpus: int | str = "*", shuffle_partitions: i
     )
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Unions that don't zip the partitions of their sides.
+
+    Spark 4.1 plans a union of equally partitioned sides as one that keeps the partitioning; if adaptive execution then
+    coalesces the sides to different numbers of partitions, the query fails ("Can't zip RDDs").
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +48,7 @@ def spread(df: DataFrame) -> DataFrame:
     A single small parquet file is one split, so the Python stages after it would run in one task.
     Large inputs already have more splits than cores and are left alone (no shuffle).
     """
+    plain_unions(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -64,6 +76,7 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a new parquet table in the shared folder: computed once, columnar, and safe from lost executors."""
+    plain_unions(df.sparkSession)
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

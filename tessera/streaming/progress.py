@@ -26,21 +26,22 @@ def stream_state(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFr
     """The same state by Structured Streaming over the files at ``path``: each micro-batch is folded into a state table in
     the shared folder, and what is there when the source is used up is the result."""
     at = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
-    folder, _, name = path.rpartition("/")
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    # as a pattern, the path may be a file or a folder of files
+    source = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    epochs: list[int] = []
 
     def fold(batch: DataFrame, epoch: int) -> None:
         new = batch.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"), F.count("*").alias("events"))
         if epoch:
             new = new.unionByName(spark.read.parquet(f"{at}/{epoch - 1}")).groupBy("user_id").agg(F.max("last").alias("last"), F.sum("events").alias("events"))
         new.write.mode("overwrite").parquet(f"{at}/{epoch}")
+        epochs.append(epoch)
 
     query = source.writeStream.foreachBatch(fold).option("checkpointLocation", f"{at}/_offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else -1
-    if last < 0:
+    if not epochs:
         return spark.createDataFrame([], "user_id long, event_type string, ts timestamp_ntz, events long")
-    return spark.read.parquet(f"{at}/{last}").select("user_id", "last.event_type", "last.ts", "events")
+    return spark.read.parquet(f"{at}/{epochs[-1]}").select("user_id", "last.event_type", "last.ts", "events")
 
 
 def answer_events(answers: DataFrame) -> DataFrame:
