@@ -114,7 +114,8 @@ class Engine:
         from tessera.plans.queries import prompt_text
 
         used = written(self.context(queries), "context")
-        prompts = used.join(prompt_text(used.select("chunk_id", "file_path", "start_line", "end_line", "symbol_name", "kind", "body").distinct()).withColumnRenamed("id", "chunk_id"), "chunk_id")
+        shown = used.select("chunk_id", "file_path", "start_line", "end_line", "symbol_name", "kind", "body").distinct()
+        prompts = used.select("query_id", "rank", "chunk_id").join(prompt_text(shown).withColumnRenamed("id", "chunk_id"), "chunk_id")
         parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"])
         waiting = prompts.groupBy(F.col("query_id").alias("answer_id")).agg(F.array_join(parts, "\n\n").alias("context")).join(queries.withColumnRenamed("query_id", "answer_id"), "answer_id")
         waiting = written(waiting.select("answer_id", F.concat("context", F.lit("\n\n"), "text").alias("prompt")), "prompts")
