@@ -163,11 +163,12 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", T.chunk_id(F.col("file_path"), F.col("symbol_name"), F.col("part"), F.col("body")).alias("made"))
 
 
-@query(f"""select item_id, case when len(a) = 0 or len(b) = 0 then 0.0 else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end similarity
-from (select item_id, list_distinct(list_transform(regexp_extract_all(query, '{T.IDENTIFIER}'), lambda x: lower(x))) a, list_distinct(list_transform(regexp_extract_all(reference_answer, '{T.IDENTIFIER}'), lambda x: lower(x))) b from eval_cases)""")
+@query(f"""with {CHUNKS}, w as (select chunk_id, list_distinct(list_transform(regexp_extract_all(signature, '{T.IDENTIFIER}'), lambda x: lower(x))) a, list_distinct(list_transform(regexp_extract_all(body, '{T.IDENTIFIER}'), lambda x: lower(x))) b from chunks where signature is not null and body is not null)
+select chunk_id, case when len(a) = 0 or len(b) = 0 then 0.0 else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end similarity from w""")
 def jaccard_similarity(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "eval_cases")
-    return e.select("item_id", T.jaccard(T.word_set(F.col("query")), T.word_set(F.col("reference_answer"))).alias("similarity"))
+    """How much of a chunk's words its signature has."""
+    c = chunks(spark, d).where("signature is not null and body is not null")
+    return c.select("chunk_id", T.jaccard(T.word_set(F.col("signature")), T.word_set(F.col("body"))).alias("similarity"))
 
 
 @query("""select c_custkey, list_reduce(list_prepend(0::ubigint, list_transform(string_split(c_name, ''), lambda c: ord(c)::ubigint)), lambda h, c: (h * 31 + c) & 4294967295) % 360 as hue from customer""")
@@ -182,10 +183,13 @@ def relative_time(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", T.relative_time(F.col("ts").cast("timestamp"), now).alias("age"))
 
 
-@query("""select id, case when contains(lower(error), 'not set') then 'llm_unconfigured' when contains(lower(error), 'rate limit') or contains(lower(error), 'rate_limit') or contains(lower(error), '429') then 'rate_limited' else 'llm_error' end kind
-from repos where error is not null""")
+@query("""with k as (select id, case when contains(lower(error), 'not set') then 'llm_unconfigured' when contains(lower(error), 'rate limit') or contains(lower(error), 'rate_limit') or contains(lower(error), '429') then 'rate_limited' else 'llm_error' end kind
+from repos where error is not null) select kind, count(distinct id) repos, count(distinct (f.repo_id, f.path)) filter (f.path is not null) files from k left join files f on f.repo_id = k.id group by kind""")
 def error_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "repos").where("error is not null").select("id", T.error_type(F.col("error")).alias("kind"))
+    """Kinds of failures, with the repositories and files that they concern."""
+    k = table(spark, d, "repos").where("error is not null").select("id", T.error_type(F.col("error")).alias("kind"))
+    f = table(spark, d, "files").select(F.col("repo_id").alias("id"), "path").distinct().groupBy("id").agg(F.count("path").alias("n"))
+    return k.join(f, "id", "left").groupBy("kind").agg(F.count("*").alias("repos"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
 
 
 # --- sources --------------------------------------------------------------------------------------------------------
@@ -260,14 +264,8 @@ def term_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> bm25.Bm25Index:
-    """The index with its postings in the shared folder, as several plans read them."""
-    made = bm25.build_index(corpus(spark, d))
-    postings, lengths = written(made.postings, "postings"), written(made.lengths, "lengths")
-    held = bm25.Bm25Index(postings, lengths, made.terms, lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(held.corpus.select("n_docs"))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    terms = raw.join(F.broadcast(raw.agg(F.avg("raw").alias("mean_raw")))).select("term", "df", F.when(F.col("raw") < 0, bm25.EPSILON * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
-    return bm25.Bm25Index(postings, lengths, written(terms, "terms"), held.corpus)
+    """The index in the shared folder, as several plans read it."""
+    return bm25.build_index(corpus(spark, d), keep=written)
 
 
 def _bm25_leg(spark: SparkSession, d: str) -> DataFrame:
@@ -554,13 +552,17 @@ def cache_probe(spark: SparkSession, d: str) -> DataFrame:
     return hit.agg(F.count("*").alias("hits")).join(miss.agg(F.count("*").alias("misses")))
 
 
-@query("select row_number() over (order by created_at desc, id) pos, id, status, len(json_extract(languages, '$[*]')) n_languages from repos")
+@query("""with f as (select repo_id, count(distinct path) files from files group by 1)
+select row_number() over (order by created_at desc, id) pos, id, status, len(json_extract(languages, '$[*]')) n_languages, coalesce(files, 0) files from repos left join f on repo_id = id""")
 def repo_listing(spark: SparkSession, d: str) -> DataFrame:
+    """All repositories, the newest first, with their recorded files."""
     from pyspark.sql import Window
 
-    r = table(spark, d, "repos")  # a fixed table of 40 rows
-    pos = F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long")
-    return r.select(pos.alias("pos"), "id", "status", F.size(F.from_json("languages", "array<string>")).cast("long").alias("n_languages"))
+    r = table(spark, d, "repos")
+    f = table(spark, d, "files").groupBy(F.col("repo_id").alias("id")).agg(F.count_distinct("path").alias("files"))
+    pos = F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long")  # repos is a table of few rows
+    listed = r.select(pos.alias("pos"), "id", "status", F.size(F.from_json("languages", "array<string>")).cast("long").alias("n_languages"))
+    return listed.join(f, "id", "left").na.fill(0, ["files"])
 
 
 @query("""with k as (select path, max(repo_id) repo_id, count(*) n from files group by 1) select r.id, r.status, count(k.path) files from repos r left join k on k.repo_id = r.id where r.status in ('ready', 'pending', 'indexing') group by 1, 2""")
