@@ -36,9 +36,9 @@ class SketchConfig:
     similarity: float = 0.7
     bands: int = 40
     rows: int = 5
-    base: float = 1.2
+    base: float = 1.08
     rate: float = 20.0
-    limit: int = 120
+    limit: int = 250
     slack: float = 4.0
     min_tokens: int = 40
     seed: int = 7
