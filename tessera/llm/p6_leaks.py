@@ -245,17 +245,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
     A document contains an item if it has ``run`` consecutive words of its reference_answer, or at least ``share`` of the
     distinct runs of ``short`` consecutive words of it. With ``near``, windows of ``run`` words with at most ``max_edits``
     word edits count too. Null ids take no part; null or empty texts and answers contain nothing; an answer of fewer than
-    ``short`` words can't leak. Repeated documents or items give one row. Texts are read whole. An item block holds at most
-    ``block_words`` words (one longer answer is a block of its own); with more items there are more blocks, each over all
-    documents.
+    ``short`` words can't leak. Repeated documents or items give one row. Texts are read whole. An item block holds about
+    half of ``block_words`` words; with more items there are more blocks, each over all documents.
     """
-    spark = docs.sparkSession
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("reference_answer").cast("string").alias("answer")).where("item_id is not null and answer is not null").distinct()
-    sized = wanted.withColumn("block", F.floor((F.sum(F.length("answer")).over(_by_item()) - F.length("answer")) / F.lit(4 * block_words)))
-    blocks = [r.block for r in sized.select("block").distinct().collect()]
+    letters = wanted.agg(F.sum(F.length("answer"))).first()[0] or 0
+    blocks = max(1, math.ceil(letters / (2 * block_words)))  # by hash, so a block may be larger than the mean
+    sized = wanted.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).where("doc_id is not null and text is not null")
     out = None
-    for block in blocks:
+    for block in range(blocks):
         mine = sized.where(F.col("block") == block).select("item_id", "answer").toArrow()
         held = Items(config, mine.column(0).to_pylist(), word_lists(mine.column(1).combine_chunks()))
 
@@ -267,18 +266,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
 
         part = map_arrow(rows, work, OUT, "text")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], OUT)
     best = F.max(F.struct("common_run", "shared_runs", "item_runs", "edits")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
-def _by_item():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.orderBy("item_id", "answer")
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases")).select("doc_id", "item_id")
 
