@@ -293,4 +293,11 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_groups": p3_groups}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": r"""with c as (select distinct chunk_id, file_path, body from index_chunks where token_count >= 40 and chunk_id is not null and file_path is not null and body is not null),
+w as (select chunk_id, file_path, body, regexp_extract_all(body, '[A-Za-z_][\p{L}\p{N}_]*|\p{Nd}+|[^\s\p{Z}\p{L}\p{N}_]') t from c),
+s as materialized (select distinct chunk_id, file_path, body, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || chr(1) || t[i + 1] || chr(1) || t[i + 2])) run from w where len(t) >= 3),
+k as materialized (select chunk_id, file_path, run, hash(body) h, count(*) over (partition by chunk_id, file_path, body) n from s)
+select distinct least(a.chunk_id, b.chunk_id) chunk_id_a, greatest(a.chunk_id, b.chunk_id) chunk_id_b from k a join k b on a.run = b.run and a.chunk_id < b.chunk_id
+where a.file_path <> b.file_path group by a.chunk_id, b.chunk_id, a.file_path, b.file_path, a.h, b.h having count(*) >= 0.7 * (any_value(a.n) + any_value(b.n) - count(*))""",
+}

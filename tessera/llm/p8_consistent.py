@@ -272,5 +272,26 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_found": p8_found, "p8_forms": p8_forms}
-SQL: dict[str, str] = {}
+
+
+def _ranges(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+
+def form_sql(column: str) -> str:
+    """A text with the same equalities as the consistent form: all look-alikes as Latin letters, accents composed."""
+    pairs = {c: row[0] for row in LOOK_ALIKES for c in row[1:] if c != "-"}
+    accented = {unicodedata.normalize("NFC", c + m): unicodedata.normalize("NFC", latin + m) for c, latin in pairs.items() for m in map(chr, range(0x300, 0x330))}
+    pairs |= {a: b for a, b in accented.items() if len(a) == 1 and len(b) == 1}
+    pairs |= {chr(a + 0xFEE0): chr(a) for low, high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)) for a in range(low, high + 1)}
+    picture = _ranges(PICTURES)
+    kept = f"regexp_replace({column}, '([{picture}])\\x{{200D}}([{picture}])', '\\1\\x{{E000}}\\2', 'g')".replace("\\x{E000}", "\ue000")
+    bare = f"regexp_replace(regexp_replace({kept}, '[{_ranges(INVISIBLE)}]', '', 'g'), '[{_ranges(SPACES)}]', ' ', 'g')"
+    return f"nfc_normalize(translate({bare}, '{''.join(pairs)}', '{''.join(pairs.values())}'))"
+
+
+SQL: dict[str, str] = {
+    "p8_found": f"""with d as materialized (select distinct doc_id, text, {form_sql("text")} form from documents where doc_id is not null and text is not null)
+select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from d a join d b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text"""
+}
 assert sys.byteorder == "little"
