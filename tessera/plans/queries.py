@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import bm25, chunking, drift, fusion, graph, grounding, parsing, store, vectors
-from tessera.session import spread, table, written
+from tessera.session import by_key, spread, table, written
 from tessera.sources import files as src
 from tessera.streaming import progress
 
@@ -40,7 +40,8 @@ def query(sql: str | None = None) -> Callable:
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """One row for each chunk_id."""
-    c = spread(table(spark, d, "index_chunks")).where("chunk_id is not null")
+    used = ("chunk_id", "repo_id", "file_path", "symbol_name", "signature", "body", "symbol_type", "start_line", "end_line")
+    c = by_key(table(spark, d, "index_chunks").where("chunk_id is not null").select(*used), "chunk_id")
     first = lambda x: F.max(x).alias(x)
     return c.groupBy("chunk_id").agg(*map(first, ("repo_id", "file_path", "symbol_name", "signature", "body")), F.max(F.lower(F.trim("symbol_type"))).alias("kind"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
 

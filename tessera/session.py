@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["cut_lineage", "get_spark", "plain_unions", "shared_dir", "spread", "table", "written"]
+__all__ = ["by_key", "cut_lineage", "get_spark", "plain_unions", "shared_dir", "spread", "table", "written"]
 
 
 def get_spark(app: str = "tessera", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -56,6 +56,17 @@ def spread(df: DataFrame) -> DataFrame:
 _OWN_DIR: list[str] = []
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows partitioned by ``keys`` into a fixed number of partitions, at least one for each core.
+
+    What follows on the same keys needs no further shuffle, and costly expressions after it aren't left to the few tasks to
+    which adaptive execution would coalesce small partitions.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
