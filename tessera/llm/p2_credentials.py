@@ -56,31 +56,39 @@ def snake(name: str) -> str:
     return _SNAKE.sub("_", name).strip("_").lower()
 
 
+# Lines can be whole bundles, so the patterns below start once in a run of name characters and don't go back into it or into
+# blanks (possessive repeats): the matches are the same, in a time that grows with the line's length only.
 _NAME = r"[A-Za-z_$][\w$.-]*"
-_LITERAL = r'''"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`'''
+_LITERAL = r'''"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\n]*`'''
 #: name [: type] = ... literal; what stands between may be a lookup with a default
-ASSIGN = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)\s*(?:\[\d*\]\s*)?(?::\s*(?:const\s+)?[&*]?\s*(?:'?\w+\s+)?[A-Za-z_][\w<>&\s]*?)?\s*(?::=|=>|(?<![=!<>])=(?!=)|:|,(?=\s*["'`]))\s*(?P<rest>[^\n]*)""")
+ASSIGN = re.compile(rf"""(?:(?P<q>["'])(?P<quoted>{_NAME}+)(?P=q)|(?<![\w$.-])(?:[^\WA-Za-z_]|[.-])*+(?P<plain>{_NAME}+))\s*+(?:\[\d*\]\s*+)?(?::\s*+(?:const\s+)?[&*]?\s*+(?:'?\w+\s+)?[A-Za-z_][\w<>&\s]*+)?(?::=|=>|(?<![=!<>])=(?!=)|:|,(?=\s*["'`]))\s*+""")
 LITERAL = re.compile(_LITERAL)
 ESCAPED_PAIR = re.compile(r"""\\["'](?P<name>[\w.-]+)\\["']\s*:\s*\\["'](?P<value>(?:[^"'\\\n]|\\[^"'\n])+)\\["']""")
-BARE_PAIR = re.compile(r"(?P<name>[A-Za-z][\w.-]*)\s*(?:=|:\s)\s*(?P<value>[^\s\"'`,;<>(){}]{6,})")
+BARE_PAIR = re.compile(r"(?<![\w.-])(?:[^\WA-Za-z]|[.-])*+(?P<name>[A-Za-z][\w.-]*+)\s*+(?:=|:\s)\s*+(?P<value>[^\s\"'`,;<>(){}]{6,})")
 #: "old auth token was ...", "login: user / ..." in the words of a comment
-PROSE_PAIR = re.compile(r"(?P<name>[A-Za-z_]*(?:password|passwd|passphrase|secret|token|credentials?|(?:api|access|signing|private|encryption|upload|deploy)[ _-]key|pwd|\bpw|\bpass))\s*(?:(?:is|was|are|now|to|->|-|:|=)\s*)?\s(?P<value>[^\s\"'`,;<>(){}]{6,})", re.I)
-LOGIN_PAIR = re.compile(r"(?P<name>login|credentials?|account|user)\s*[:=]?\s+\S+\s*/\s*(?P<value>[^\s\"'`,;<>(){}]{6,})", re.I)
-URL_USER = re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@\"'`<>]*:(?P<value>[^\s@/\"'`]+)@[\w.-]+", re.I)
+PROSE_PAIR = re.compile(r"(?<![A-Za-z_])(?P<name>[A-Za-z_]*(?:password|passwd|passphrase|secret|token|credentials?|(?:api|access|signing|private|encryption|upload|deploy)[ _-]key|pwd|\bpw|\bpass))\s*(?:(?:is|was|are|now|to|->|-|:|=)\s*)?\s(?P<value>[^\s\"'`,;<>(){}]{6,})", re.I)
+LOGIN_PAIR = re.compile(r"(?P<name>login|credentials?|account|user)(?:\s*+[:=])?\s++\S+\s*/\s*(?P<value>[^\s\"'`,;<>(){}]{6,})", re.I)
+URL_USER = re.compile(r"[a-z][0-9+.-]*+://[^\s:/@\"'`<>]*:(?P<value>[^\s@/\"'`]+)@[\w.-]+", re.I)
 URL_PARAM = re.compile(r"[?&](?P<name>sig|signature|key|token|secret|password|passwd|pwd|auth|[a-z_]*(?:api_?key|access_?token|auth_?token|access_?key|_token|_secret|_key))=(?P<value>[^\s&\"'`#<>]+)", re.I)
-HEADER = re.compile(r"(?P<name>authorization|x-[a-z-]*(?:token|key|auth|secret)[a-z-]*|api-key|private-token)(?:\"|')?\s*[:,]\s*(?:\"|'|`)?(?:(?P<scheme>bearer|basic|token)\s+)?(?P<value>[^\s\"'`,;)]+)", re.I)
+HEADER = re.compile(r"(?P<name>authorization|x-[a-z-]*(?:token|key|auth|secret)[a-z-]*+|api-key|private-token)(?:\"|')?\s*[:,]\s*(?:\"|'|`)?(?:(?P<scheme>bearer|basic|token)\s+)?(?P<value>[^\s\"'`,;)]+)", re.I)
 SQL_LITERAL = re.compile(r"(?:identified\s+by|password)\s+(?:=\s*)?'(?P<value>[^'\n]+)'", re.I)
-CALL = re.compile(r"(?P<name>\w*(?:log_?in|sign_?in|connect|open_?session|authenticate|auth)\w*)\s*\((?P<args>[^()\n]*)\)", re.I)
+CALL = re.compile(r"(?<!\w)(?P<name>\w*(?:log_?in|sign_?in|connect|open_?session|authenticate|auth)\w*+)\s*+\((?P<args>[^()\n]*)\)", re.I)
 OPTION = re.compile(r"(?:^|\s)--?(?P<name>password|passwd|pass|token|secret|api-key|apikey|auth-token|access-token|user)(?:=|\s+)[\"']?(?P<value>[^\s\"'`]+)", re.I)
-ENCODED = re.compile(rf"(?:base64|b64|atob)\w*\s*\(?\s*(?P<value>{_LITERAL})", re.I)
-INNER_PAIR = re.compile(r"(?P<name>[A-Za-z_]\w*)\s*[=:]\s*(?P<value>[^;&\s\"',]+)")
+ENCODED = re.compile(rf"(?:base64|b64|atob)\w*+\s*+(?:\(\s*+)?(?P<value>{_LITERAL})", re.I)
+INNER_PAIR = re.compile(r"(?<!\w)\d*+(?P<name>[A-Za-z_]\w*+)\s*+[=:]\s*(?P<value>[^;&\s\"',]+)")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
+_END = re.compile(r"-----END [A-Z0-9 ]+-----")
 _RUN = re.compile(r"[A-Za-z0-9+/=]{16,}")
 _ISSUED_CUES = ("AKIA", "ASIA", "gh", "glpat-", "_live_", "xox", "AIza", "npm_", "eyJ")
 COMMENT = re.compile(r"^\s*(?://|#(?!include|define|if|endif|else|pragma)|\*|/\*|<!--|--\s)")
 BARE_FILE = re.compile(r"\.(?:env|properties|ini|cfg|conf|ya?ml|toml|sh|bash)$", re.I)
 _CONTINUES = re.compile(r"(?:[=(+\\]|:=)\s*$")
+_ENV = re.compile(r"\b(?:env|environ)\b")
+_PLAIN = re.compile(r"\s*+(?:\{\s*+)?")
+_WRAPPED = re.compile(r"\s*+(?:[\w:.<>&]+!?\s*+\(\s*|\(\s*|\[\s*|\w+\s+|String::from\(|[bfruLR]{1,2})")
+_NEXT_ASSIGN = re.compile(r",\s*[\w$.]+\s*[=:]")
 
 KINDS = ("assign", "pair", "bare", "url", "param", "header", "sql", "call", "option", "encoded", "block", "issued")
 FEATURES = ("bias", "likelihood", "length", "digits", "capitals", "symbols", "entropy", "words", "strong", "weak", "other", "placeholder", "lookup", "issued", "digest", "uuid", "place", "blank", "named", "test_path", "plural_case", *KINDS)
@@ -135,32 +143,38 @@ def candidates(text: str, path: str | None = None) -> list[Found]:
     """All literals of ``text`` that stand where a credential could."""
     out: list[Found] = []
     taken: set[tuple[int, int]] = set()
+    keys: list[tuple[int, int]] = []  # from BEGIN to END of armoured blocks, which are read as such only
+    covered = bytearray(len(text))  # 1 where a candidate stands
+
+    def put(c: Found) -> None:
+        if not any(a < e and s < b for a, b in keys for s, e in c.spans):
+            out.append(c)
+            for s, e in c.spans:
+                covered[s:e] = b"\1" * (e - s)
 
     def add(kind: str, name: str, value: str, start: int, end: int, number: int, context: str = "") -> None:
         if value and (start, end) not in taken:
             taken.add((start, end))
-            out.append(Found(number, kind, name, value, context, [(start, end)]))
+            put(Found(number, kind, name, value, context, [(start, end)]))
 
     bare_file = bool(path and BARE_FILE.search(path))
     pem_until = -1
     for number, start, stop in _lines(text):
         line = text[start:stop]
-        if len(line) > 20_000:  # a minified line: only what can be told by its own form
-            for m in ISSUED.finditer(line):
-                add("issued", "", m.group(), start + m.start(), start + m.end(), number)
-            for m in URL_USER.finditer(line):
-                add("url", "password", m.group("value"), start + m.start("value"), start + m.end("value"), number)
-            continue
         for m in PEM.finditer(line):
             stop_at = PEM_END.search(text, start + m.end())
             until = stop_at.start() if stop_at else len(text)
             runs = [(r.start(), r.end()) for r in _RUN.finditer(text, start + m.end(), until)]
             if sum(e - s for s, e in runs) >= 40:
-                out.append(Found(number, "block", "private_key", text[runs[0][0] : runs[0][1]], "", runs))
+                put(Found(number, "block", "private_key", text[runs[0][0] : runs[0][1]], "", runs))
                 pem_until = max(pem_until, until)
-        if start < pem_until and "BEGIN" not in line:
-            continue
-        if "-----BEGIN" in line:
+        for m in _BEGIN.finditer(line):
+            end = _END.search(text, start + m.end())
+            at = start + m.start()
+            while at > start and text[at - 1] in "\"'`":
+                at -= 1
+            keys.append((at, end.end() if end and end.start() <= max(stop, pem_until) else max(start + m.end(), pem_until)))
+        if start < pem_until and stop <= pem_until and "BEGIN" not in line:
             continue
         low = line.lower()
         comment = bool(COMMENT.match(line))
@@ -203,29 +217,48 @@ def candidates(text: str, path: str | None = None) -> list[Found]:
                 at = start + m.start("args") + args[-1].start() + 1
                 add("call", m.group("name"), args[-1].group()[1:-1], at, at + len(args[-1].group()) - 2, number)
         if quoted or _CONTINUES.search(line):
-            _assigned(text, line, number, start, stop, out, taken)
-        held = {s for c in out for s in c.spans} if any(x in line for x in _ISSUED_CUES) else ()
+            _assigned(text, line, number, start, stop, put, taken)
         for m in ISSUED.finditer(line) if any(x in line for x in _ISSUED_CUES) else ():
             at, end = start + m.start(), start + m.end()
-            if not any(a <= at and end <= b for a, b in held):
-                add("issued", _name_before(line[: m.start()]), m.group(), at, end, number)
+            if covered.find(0, at, end) >= 0:
+                add("issued", _name_before(text, start, at), m.group(), at, end, number)
         if comment or bare_file:
             for m in BARE_PAIR.finditer(line):
-                if STRONG_NAME.search(snake(m.group("name"))) and not any(a <= start + m.start("value") < b for c in out[-8:] for a, b in c.spans):
+                if STRONG_NAME.search(snake(m.group("name"))) and not covered[start + m.start("value")]:
                     value = m.group("value").rstrip(".")
                     add("bare", m.group("name"), value, start + m.start("value"), start + m.start("value") + len(value), number)
         for pattern in (PROSE_PAIR, LOGIN_PAIR) if comment else ():
             for m in pattern.finditer(line):
                 value = m.group("value").rstrip(".:")
                 at = start + m.start("value")
-                if re.search(r"\d", value) and not any(a <= at < b for c in out[-8:] for a, b in c.spans):
+                if re.search(r"\d", value) and not covered[at]:
                     add("bare", m.group("name") if pattern is PROSE_PAIR else "login_password", value, at, at + len(value), number)
     return out
 
 
-def _name_before(head: str) -> str:
-    m = re.search(r"([A-Za-z_][\w-]*)[\"']?\s*(?:=|:=|:)\s*[\"'`]?$", head)
-    return m.group(1) if m else ""
+def _name_before(text: str, low: int, at: int) -> str:
+    """The name to which what begins at ``at`` is given on a line that begins at ``low``."""
+
+    def back(chars: str, most: int | None = None) -> int:
+        k = at
+        while k > low and (most is None or at - k < most) and (text[k - 1] in chars if chars else text[k - 1].isspace()):
+            k -= 1
+        return k
+
+    at = back("\"'`", 1)
+    at = back("")
+    op = back("=", 1)
+    at, equals = op, op < at
+    op = back(":", 1)
+    if op == at and not equals:
+        return ""
+    at = op
+    at = back("")
+    end = at = back("\"'", 1)
+    while at > low and (text[at - 1].isalnum() or text[at - 1] in "_-"):
+        at -= 1
+    m = re.search(r"[A-Za-z_][\w-]*$", text[at:end])
+    return m.group() if m else ""
 
 
 def _decoded(value: str) -> str | None:
@@ -235,19 +268,21 @@ def _decoded(value: str) -> str | None:
         return None
 
 
-def _assigned(text: str, line: str, number: int, start: int, stop: int, out: list[Found], taken: set[tuple[int, int]]) -> None:
+def _assigned(text: str, line: str, number: int, start: int, stop: int, put: Callable[[Found], None], taken: set[tuple[int, int]]) -> None:
     """Literals that are given to a name, with further pieces on the same or the next lines."""
-    at = 0
+    at, ahead = 0, -1  # ``first``: the next literal from ``ahead`` on, which all names before it share
+    first, env, ends = None, -1, len(line.rstrip())
     while True:
         m = ASSIGN.search(line, at)
         if not m:
             return
-        name, rest, offset = m.group("name"), m.group("rest"), start + m.start("rest")
-        at = m.start("rest")
+        name, at = m.group("quoted") or m.group("plain"), m.end()
         words = snake(name)
         cued = bool(STRONG_NAME.search(words) or WEAK_NAME.search(words) or OTHER_NAME.search(words))
-        first = LITERAL.search(rest)
-        if not first and cued and (not rest.strip() or _CONTINUES.search(rest) or rest.strip() in ("(", "\\")):
+        if ahead < 0 or first and first.start() < at:
+            ahead, first = at, LITERAL.search(line, at)
+            env = max((e.start() for e in _ENV.finditer(line, at, first.start())), default=-1) if first else -1
+        if not first and cued and (at >= ends or line[ends - 1] in "=(+\\"):
             # the value begins on a later line
             below = text[stop + 1 : stop + 2001]
             head = re.match(rf"(?:[ \t]*\(?[ \t]*\r?\n)*[ \t]*(?={_LITERAL})", below)
@@ -257,48 +292,63 @@ def _assigned(text: str, line: str, number: int, start: int, stop: int, out: lis
                     spans = [(stop + 1 + a, stop + 1 + b) for a, b in pieces]
                     if spans[0] not in taken:
                         taken.update(spans)
-                        out.append(Found(number + 1 + below.count("\n", 0, pieces[0][0]), "assign", name, "".join(values), "", spans))
+                        put(Found(number + 1 + below.count("\n", 0, pieces[0][0]), "assign", name, "".join(values), "", spans))
             return
         if not first:
             continue
-        before = rest[: first.start()]
-        key = re.match(r"\s*\{?\s*", before)
-        plain = key.end() == len(before)
-        lookup = LOOKUP.search(before.rstrip("([ "))
-        if lookup or re.search(r"\b(?:env|environ)\b", before):
+        quote = first.start()
+        lookup = _looked_up(line, at, quote)
+        if lookup or env >= at:
+            before = line[at:quote]
+            if ";" in before or before.count("(") <= before.count(")") and _NEXT_ASSIGN.search(before):
+                continue  # the literal is given to a later name
             # the first literal of a lookup names what is looked up; a default may follow
-            after = LITERAL.search(rest, first.end())
-            if after and re.match(r"\s*[\])]*\s*(?:,|\|\||\?\?|or\b|\.unwrap_or\w*\()", rest[first.end() : after.start()] or ","):
-                span = (offset + after.start() + 1, offset + after.end() - 1)
+            at = first.end()
+            after = LITERAL.search(line, at)
+            if after and re.match(r"\s*[\])]*\s*(?:,|\|\||\?\?|or\b|\.unwrap_or\w*\()", line[at : after.start()] or ","):
+                span = (start + after.start() + 1, start + after.end() - 1)
                 if span not in taken and cued:
                     taken.add(span)
-                    out.append(Found(number, "assign", name, after.group()[1:-1], "default", [span]))
+                    put(Found(number, "assign", name, after.group()[1:-1], "default", [span]))
+                    at = after.end()
             elif re.search(r"\|\||\?\?|\bor\b", before):
-                span = (offset + first.start() + 1, offset + first.end() - 1)
+                span = (start + first.start() + 1, start + first.end() - 1)
                 if span not in taken and cued:
                     taken.add(span)
-                    out.append(Found(number, "assign", name, first.group()[1:-1], "default", [span]))
+                    put(Found(number, "assign", name, first.group()[1:-1], "default", [span]))
             elif cued:
-                out.append(Found(number, "assign", name, first.group()[1:-1], "lookup", [(offset + first.start() + 1, offset + first.end() - 1)]))
-            at = m.end()
+                put(Found(number, "assign", name, first.group()[1:-1], "lookup", [(start + first.start() + 1, start + first.end() - 1)]))
             continue
-        if not plain and not re.fullmatch(r"\s*(?:[\w:.<>&]+!?\s*\(\s*|\(\s*|\[\s*|\w+\s+|String::from\(|[bfruLR]{1,2})", before):
+        if not _PLAIN.fullmatch(line, at, quote) and not _WRAPPED.fullmatch(line, at, quote):
             continue
+        before = line[at:quote]
         value = first.group()[1:-1]
+        at = first.end()
         if not cued and (len(value) < 12 or " " in value or not re.search(r"\d", value)):
-            at = m.start("rest") + first.end()
             continue
-        pieces, values = _pieces(text, offset + first.start())
-        spans = pieces or [(offset + first.start() + 1, offset + first.end() - 1)]
+        pieces, values = _pieces(text, start + quote)
+        spans = pieces or [(start + quote + 1, start + first.end() - 1)]
         if spans[0] not in taken:
             called = bool(re.search(r"[\w!]\s*\(\s*$", before)) and not re.search(r"(?:String|str|string|bytes|from|new|Some|Optional\.of|concat!?)\s*\(\s*$", before)
             taken.update(spans)
-            out.append(Found(number, "assign" if not m.group("q") else "pair", name, "".join(values) or value, "call" if called else "", spans))
-        at = m.start("rest") + first.end()
+            put(Found(number, "pair" if m.group("q") else "assign", name, "".join(values) or value, "call" if called else "", spans))
         if at >= len(line):
             return
 
 
+def _looked_up(line: str, low: int, end: int) -> bool:
+    """Whether a call or index that looks something up stands between ``low`` and ``end``, at its end."""
+    while end > low and line[end - 1] in "([ ":
+        end -= 1
+    while end > low and line[end - 1].isspace():
+        end -= 1
+    if end > low and line[end - 1] in "[(.":
+        end -= 1
+    while end > low and line[end - 1].isspace():
+        end -= 1
+    return bool(LOOKUP.search(line[max(low, end - 24) : end]))  # longer than any of its words
+
+
 def _pieces(text: str, at: int) -> tuple[list[tuple[int, int]], list[str]]:
     """Literals from ``at`` on that are joined by plus signs or stand directly in a row, also over line ends."""
     spans, values = [], []
