@@ -81,10 +81,17 @@ PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
 _END = re.compile(r"-----END [A-Z0-9 ]+-----")
 _RUN = re.compile(r"[A-Za-z0-9+/=]{16,}")
+#: What of a private key is masked: all but signs, escapes and the plus signs between its pieces.
+_KEY_PART = re.compile(r"""\\[nrt]|(?<![^\s"'`])\+(?![^\s"'`])|(?P<part>[A-Za-z0-9+/=]+)""")
+#: A key without its end, as in a chunk: headers, then long runs with what joins them, then a shorter last line.
+_OPEN_KEY = re.compile(r"""(?:\s|\\[nr]|["'`])*+(?:[A-Za-z-]+:[ ][^\n\\]*(?:\s|\\[nr])++)*+(?:[\s"'`,()#*;|>\\.]|\+(?=\s)|//(?=\s)|(?<=\\)[nrt]|[A-Za-z0-9+/=]{16,})*+(?:(?<=[\n"'`])[A-Za-z0-9+/=]{1,15}(?=[ \t\r]*(?:\n|["'`]|\Z)))?""")
 _ISSUED_CUES = ("AKIA", "ASIA", "gh", "glpat-", "_live_", "xox", "AIza", "npm_", "eyJ")
 COMMENT = re.compile(r"^\s*(?://|#(?!include|define|if|endif|else|pragma)|\*|/\*|<!--|--\s)")
 BARE_FILE = re.compile(r"\.(?:env|properties|ini|cfg|conf|ya?ml|toml|sh|bash)$", re.I)
 _CONTINUES = re.compile(r"(?:[=(+\\]|:=)\s*$")
+_BELOW = re.compile(rf"(?:[ \t]*+(?:\([ \t]*+)?\r?\n)*+[ \t]*+(?={_LITERAL})")
+_SUM, _ROW = (re.compile(rf"[ \t]*(?:\)?[ \t]*\+|\\|{comma})?[ \t]*(?:\r?\n[ \t]*)?(?:\+[ \t]*)?") for comma in ("\\+", ","))
+_COLON = re.compile(r".[ \t]*+:")
 _ENV = re.compile(r"\b(?:env|environ)\b")
 _PLAIN = re.compile(r"\s*+(?:\{\s*+)?")
 _WRAPPED = re.compile(r"\s*+(?:[\w:.<>&]+!?\s*+\(\s*|\(\s*|\[\s*|\w+\s+|String::from\(|[bfruLR]{1,2})")
@@ -163,10 +170,15 @@ def candidates(text: str, path: str | None = None) -> list[Found]:
         line = text[start:stop]
         for m in PEM.finditer(line):
             stop_at = PEM_END.search(text, start + m.end())
-            until = stop_at.start() if stop_at else len(text)
-            runs = [(r.start(), r.end()) for r in _RUN.finditer(text, start + m.end(), until)]
-            if sum(e - s for s, e in runs) >= 40:
-                put(Found(number, "block", "private_key", text[runs[0][0] : runs[0][1]], "", runs))
+            again = PEM.search(text, start + m.end())
+            if stop_at and not (again and again.start() < stop_at.start()):
+                until = stop_at.start()
+            else:
+                until = _OPEN_KEY.match(text, start + m.end()).end()
+            runs = [r.group() for r in _RUN.finditer(text, start + m.end(), until)]
+            if sum(map(len, runs)) >= 40:
+                parts = [r.span() for r in _KEY_PART.finditer(text, start + m.end(), until) if r["part"]]
+                put(Found(number, "block", "private_key", runs[0], "", parts))
                 pem_until = max(pem_until, until)
         for m in _BEGIN.finditer(line):
             end = _END.search(text, start + m.end())
@@ -284,15 +296,12 @@ def _assigned(text: str, line: str, number: int, start: int, stop: int, put: Cal
             env = max((e.start() for e in _ENV.finditer(line, at, first.start())), default=-1) if first else -1
         if not first and cued and (at >= ends or line[ends - 1] in "=(+\\"):
             # the value begins on a later line
-            below = text[stop + 1 : stop + 2001]
-            head = re.match(rf"(?:[ \t]*\(?[ \t]*\r?\n)*[ \t]*(?={_LITERAL})", below)
+            head = _BELOW.match(text, stop + 1)
             if head:
-                pieces, values = _pieces(below, head.end())
-                if pieces and _ends_value(below, pieces[-1][1]):
-                    spans = [(stop + 1 + a, stop + 1 + b) for a, b in pieces]
-                    if spans[0] not in taken:
-                        taken.update(spans)
-                        put(Found(number + 1 + below.count("\n", 0, pieces[0][0]), "assign", name, "".join(values), "", spans))
+                spans, values = _pieces(text, head.end())
+                if spans and _ends_value(text, spans[-1][1]) and spans[0] not in taken:
+                    taken.update(spans)
+                    put(Found(number + 1 + text.count("\n", stop + 1, spans[0][0]), "assign", name, "".join(values), "", spans))
             return
         if not first:
             continue
@@ -352,11 +361,10 @@ def _looked_up(line: str, low: int, end: int) -> bool:
 def _pieces(text: str, at: int) -> tuple[list[tuple[int, int]], list[str]]:
     """Literals from ``at`` on that are joined by plus signs or stand directly in a row, also over line ends."""
     spans, values = [], []
-    comma = "," if re.search(r"concat!?\s*\(\s*$", text[max(0, at - 40) : at]) else "\\+"
-    glue = re.compile(rf"[ \t]*(?:\)?[ \t]*\+|\\|{comma})?[ \t]*(?:\r?\n[ \t]*)?(?:\+[ \t]*)?")
+    glue = _ROW if _after_concat(text, at) else _SUM
     while True:
         m = LITERAL.match(text, at)
-        if not m or len(spans) > 64:
+        if not m:
             return spans, values
         spans.append((m.start() + 1, m.end() - 1))
         values.append(m.group()[1:-1])
@@ -366,9 +374,21 @@ def _pieces(text: str, at: int) -> tuple[list[tuple[int, int]], list[str]]:
         at = g.end()
 
 
+def _after_concat(text: str, at: int) -> bool:
+    """Whether the bracket of a concat call opens just before ``at``."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    if not at or text[at - 1] != "(":
+        return False
+    at -= 1
+    while at and text[at - 1].isspace():
+        at -= 1
+    return text.endswith(("concat", "concat!"), 0, at)
+
+
 def _ends_value(text: str, at: int) -> bool:
     """Whether a value can end at ``at``, just before a quote: no further argument or pair follows."""
-    return not re.match(r".[ \t]*:", text[at : at + 20])
+    return not _COLON.match(text, at)
 
 
 def weak_label(c: Found) -> int:
@@ -427,7 +447,7 @@ class CredentialModel:
     def ratio(self, value: str) -> float:
         if not value:
             return 0.0
-        codes = np.concatenate(([0], _codes(value[:400])))
+        codes = np.concatenate(([0], _codes(value)))
         return float((self.pairs[1][codes[:-1], codes[1:]] - self.pairs[0][codes[:-1], codes[1:]]).mean())
 
     def score(self, c: Found, path: str | None) -> float:

@@ -1,3 +1,6 @@
+import re
+
+import numpy as np
 import pytest
 
 pytest.importorskip("tessera.llm")
@@ -116,3 +119,35 @@ def test_long_line():
         assert len(got) == 2, (kind, value, got)
     short = [c for _, line, _ in LONG for c in p2.candidates(line + "\n", "dist/app.min.js")]
     assert {(c.kind, c.name, c.value) for c in short if c.kind != "assign"} <= {(c.kind, c.name, c.value) for c in found}
+
+
+def _masked(text):
+    weights = np.zeros(len(p2.FEATURES))
+    weights[p2.FEATURES.index("bias")] = 9
+    return p2.masked(text, "a.py", p2.CredentialModel(np.zeros((2, 96, 96)), weights, (1.0, 0.0)), 0.5)
+
+
+def test_values_are_whole():
+    key = "".join(f"Ab3dEf7h{k:04d}" for k in range(400))
+    (one,) = p2.candidates(f'CREDENTIALS =\n  "{key}"\n')
+    assert one.value == key and one.line_no == 2
+    pieces = [key[k : k + 12] for k in range(0, len(key), 12)]
+    for text in ("SECRET_KEY =\n" + " +\n".join(f'  "{p}"' for p in pieces), "SECRET_KEY = (\n" + "\n".join(f'  "{p}"' for p in pieces) + ")", "const SECRET_KEY: &str = concat!(\n" + " " * 60 + ",\n".join(f'  "{p}"' for p in pieces) + ");"):
+        (one,) = p2.candidates(text + "\n")
+        assert one.value == key and not re.search("[0-9]", _masked(text))
+
+
+def test_ratio_reads_the_whole_value():
+    pairs = np.zeros((2, 96, 96))
+    pairs[1, ord("9") - 31] = 4.0
+    model = p2.CredentialModel(pairs, np.zeros(len(p2.FEATURES)), (1.0, 0.0))
+    assert model.ratio("a" * 400 + "9" * 400) == pytest.approx(4.0 * 399 / 800)
+
+
+def test_private_key_is_masked_to_its_end():
+    body = "MIIEow" + "Ab3dEf7hIj1kLm9nOp5qRs" * 3
+    for text in (f"-----BEGIN PRIVATE KEY-----\n{body}\nQz7x9w==\n-----END PRIVATE KEY-----\n", f'k = "-----BEGIN PRIVATE KEY-----\\n{body}\\nQz7x9w==\\n-----END PRIVATE KEY-----\\n"\n', f"-----BEGIN PRIVATE KEY-----\n{body}\nQz7x9w==\n"):
+        clean = _masked(text)
+        assert "Qz" not in clean and "7x9w" not in clean and "Rs" not in clean and len(clean) == len(text)
+    rest = "def run_the_next_part_of_it(argument_number_one):\n    return 1\n"
+    assert _masked(f"-----BEGIN PRIVATE KEY-----\n{body}\n\n{rest}").endswith(rest)
