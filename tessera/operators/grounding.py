@@ -22,6 +22,15 @@ def cited(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", F.posexplode(citations("text"))).select("answer_id", F.col("pos").cast("long").alias("pos"), "col.file", "col.start", "col.end")
 
 
+def _lines(content: str) -> Column:
+    return F.split(F.regexp_replace(content, r"\n$", ""), "\n")
+
+
+def line_counts(files: DataFrame) -> DataFrame:
+    """(file, last): the number of lines of each of (file, content), without null contents; counted as by ``validate``."""
+    return files.where("content is not null").groupBy("file").agg(F.max(F.size(_lines("content"))).alias("last"))
+
+
 def validate(answers: DataFrame, files: DataFrame) -> DataFrame:
     """(answer_id, pos, file, start, end, exists, similarity, reason) of every citation, against (file, content).
 
@@ -29,9 +38,8 @@ def validate(answers: DataFrame, files: DataFrame) -> DataFrame:
     answer's words and the cited lines'; it only informs. The contents that are cited are joined, not all.
     """
     spans = cited(answers)
-    lines = F.split(F.regexp_replace("content", r"\n$", ""), "\n")
     wanted = spans.select("file").distinct()
-    known = files.join(wanted, "file", "left_semi").select("file", lines.alias("lines"))
+    known = files.join(wanted, "file", "left_semi").select("file", _lines("content").alias("lines"))
     checked = spans.join(known, "file", "left").join(answers.select("answer_id", "text"), "answer_id")
     in_range = (F.col("start") >= 1) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.size("lines"))
     reason = F.when(F.col("lines").isNull(), "file not found").when(~in_range, "line range out of bounds").otherwise("")

@@ -1,6 +1,7 @@
 """The three modes over a tree of files: index it, ask it, and check its documentation against it.
 
-An index is a folder of parquet tables: files, chunks (by repository), vectors, postings, lengths, terms, edges and repos.
+An index is a folder of parquet tables: files, lines, chunks (by repository), vectors, postings, lengths, terms, edges and
+repos. ``lines`` has the number of lines of every file of the tree, as all of them can be cited.
 ``chunks`` is written once, and the others are independent jobs over it.
 """
 
@@ -52,16 +53,17 @@ class Engine:
         name = root.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git")
         self._status(repo_id, name, root, "indexing")
         try:
-            raw = src.scan(self.spark, root).where(F.col("length") <= src.MAX_FILE_BYTES)
-            texts = raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-            return self.index_files(texts, repo_id, name, root)
+            text = F.make_valid_utf8(F.col("content").cast("string")).alias("content")
+            raw = src.scan(self.spark, root)
+            return self.index_files(raw.where(F.col("length") <= src.MAX_FILE_BYTES).select("path", text), repo_id, name, root, raw.select("path", text))
         except Exception as e:
             self._status(repo_id, name, root, "error", str(e)[:500])
             raise
 
-    def index_files(self, texts: DataFrame, repo_id: str, name: str = "", root: str = "") -> DataFrame:
-        """Indexes files (path, content)."""
+    def index_files(self, texts: DataFrame, repo_id: str, name: str = "", root: str = "", citable: DataFrame | None = None) -> DataFrame:
+        """Indexes files (path, content); ``citable``: all that can be cited (path, content), if those are more."""
         s = self.settings
+        self._write("lines", grounding.line_counts((texts if citable is None else citable).withColumnRenamed("path", "file")))
         kept = src.eligible(texts, s.languages, s.ignore).select("path", "content")
         self.progress("parse", "parsing files")
         parsed = parsing.parse_files(kept)
@@ -119,7 +121,7 @@ class Engine:
         parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"])
         waiting = prompts.groupBy(F.col("query_id").alias("answer_id")).agg(F.array_join(parts, "\n\n").alias("context")).join(queries.withColumnRenamed("query_id", "answer_id"), "answer_id")
         waiting = written(waiting.select("answer_id", F.concat("context", F.lit("\n\n"), "text").alias("prompt")), "prompts")
-        disk = self.table("chunks").groupBy(F.col("file_path").alias("file")).agg(F.max("end_line").alias("last"))
+        disk = self.table("lines")
         done = None
         for _ in range((self.settings.max_retries if attempts is None else attempts) + 1):
             said = written(model(waiting).select("answer_id", "text"), "answers")
@@ -132,7 +134,10 @@ class Engine:
             if not waiting.limit(1).count():
                 break
         out = done.unionByName(checked.where("not ok"))
-        premises = used.select(F.col("query_id").alias("answer_id"), F.col("body").alias("premise"))
+        # what an answer cites supports it; all of its context does if none of that is cited
+        context = used.select(F.col("query_id").alias("answer_id"), "chunk_id", F.col("body").alias("premise"))
+        held = context.join(grounding.cited_chunks(grounding.cited(out), shown), ["answer_id", "chunk_id"], "left_semi")
+        premises = held.unionByName(context.join(held.select("answer_id").distinct(), "answer_id", "left_anti"))
         return out.join(grounding.ground(out.select("answer_id", "text"), premises), "answer_id")
 
     def drift(self, claims: DataFrame, k: int = 8) -> DataFrame:

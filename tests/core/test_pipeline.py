@@ -49,6 +49,24 @@ def test_answers_are_asked_for_again(spark, tmp_path):
     assert got == {1: True, 2: True} and rounds == [2, 1]
 
 
+def test_citations_of_all_lines_and_cited_premises(spark, tmp_path):
+    root = tmp_path / "cited"
+    root.mkdir()
+    (root / "router.py").write_text(FILES["router.py"] + "\n# the table of routes\n# ends here\n")
+    (root / "auth.py").write_text(FILES["auth.py"])
+    (root / "small.py").write_text("LIMIT = 3\n")
+    (root / "NOTES.md").write_text("one\ntwo\n")
+    engine = Engine(spark, str(tmp_path / "index"), Settings(min_tokens=5))
+    engine.index(str(root), "cited")
+    assert engine.table("chunks").where("file_path = 'router.py'").agg(F.max("end_line")).first()[0] < 13
+    said = [(1, "resolve path [router.py:12-13]"), (2, "resolve path [small.py:1-1]"), (3, "resolve path [NOTES.md:2]"), (4, "resolve path [router.py:14]"), (5, "resolve path [small.py:2]"), (6, "parts path split. [auth.py:6-7]"), (7, "parts path split. [small.py:1]")]
+    q = spark.createDataFrame([(n, "resolve path split parts hash digest") for n, _ in said], "query_id long, text string")
+    answers = spark.createDataFrame(said, "answer_id long, text string")
+    got = {r.answer_id: r for r in engine.answer(q, lambda prompts: prompts.select("answer_id").join(answers, "answer_id"), attempts=0).collect()}
+    assert {n: r.ok for n, r in got.items()} == {1: True, 2: True, 3: True, 4: False, 5: False, 6: True, 7: True}
+    assert got[6].score < got[7].score  # 6 cites a chunk that doesn't say it, 7 none, so all of its context counts
+
+
 def test_settings(monkeypatch, spark):
     monkeypatch.setenv("TESSERA_MAX_TOKENS", "99")
     monkeypatch.setenv("TESSERA_LANGUAGES", "go, rust")
