@@ -1,11 +1,12 @@
 """Problem 6: passages of evaluation items in training texts.
 
 Every item answer is cut into windows of 13 words (what is sure to be a leak) and of 5 words (the runs of which half make a
-leak), at every word. Each window is embedded by the CGK random walk, which turns edit distance into Hamming distance, and
-repeated samples of the embedding's positions are its hash keys. Windows of the documents are embedded by the same walks and
-looked up among the items' keys; equal windows always meet, and of windows with few edits nearly all do. What meets is
-verified on the words themselves: the longest common run, the share of the item's runs of five, and the edit distance of the
-closest windows.
+leak), at every word; items of less than 13 words are a window of their own length, too. Each window is embedded by CGK random
+walks, which turn edit distance into Hamming distance, and samples of each walk's positions are its hash keys. Windows of the
+documents are embedded by the same walks and looked up among the items' keys; equal windows always meet. How many walks and
+samples there are is chosen by simulation, so that a stated part (``recall``) of windows with the most edits allowed meets.
+What meets is verified on the words themselves: the longest common run, the share of the item's runs of five, and the edit
+distance of the closest windows.
 
 The items are a stated query set: they are fitted to the driver in blocks of bounded size, each block goes over all
 documents in one map stage, and no document is shuffled.
@@ -13,6 +14,7 @@ documents in one map stage, and no document is shuffled.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -29,24 +31,27 @@ from tessera.llm.p8_consistent import consistent
 from tessera.session import spread, table
 
 WORD = re.compile(r"[^\W_]+")
-#: Words of all items in a block. The keys of a block take about 150 bytes a word, so this bounds them at 150 MB.
-BLOCK_WORDS = 1_000_000
+#: Words of all items in a block. Each of the at most MOST_WALKS keys of a word takes 16 bytes, so this bounds them at 160 MB.
+BLOCK_WORDS, MOST_WALKS = 500_000, 20
 OUT = "doc_id long, item_id long, common_run int, shared_runs int, item_runs int, edits int"
 
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """``run``: words that are a leak by themselves; ``short``: words in the runs of which ``share`` are one; ``repeats`` and
-    ``samples``: hash keys of a long window and embedding positions in each; ``max_edits``: of a near leak's windows."""
+    """``run``: words that are a leak by themselves; ``short``: words in the runs of which ``share`` are one;
+    ``max_edits``: of a near leak's windows of ``run`` words, in proportion fewer of shorter items' windows; ``recall``: the
+    part of windows with so many random edits that meets, found by itself, without the help of windows beside it."""
 
     run: int = 13
     short: int = 5
     share: float = 0.5
-    repeats: int = 8
-    samples: int = 8
+    recall: float = 0.9
     max_edits: int = 3
     seed: int = 42
 
+    def edits_of(self, size: int) -> int:
+        return self.max_edits * size // self.run
+
 
 def word_lists(texts: pa.Array) -> list[list[str]]:
     """The words of each text: runs of letters and digits of its consistent form, in lower case; none for null."""
@@ -97,7 +102,8 @@ class Walk:
     def __init__(self, size: int, repeats: int, samples: int, seed: int) -> None:
         rng = np.random.default_rng([seed, size])
         self.size, self.steps = size, 3 * size
-        self.factor = rng.integers(0, 1 << 63, self.steps, np.uint64) * np.uint64(2) + np.uint64(1)
+        # a walk for each repetition, so that one that drifts apart at an edit leaves the others' chances as they are
+        self.factor = rng.integers(0, 1 << 63, (repeats, self.steps), np.uint64) * np.uint64(2) + np.uint64(1)
         self.mixer = rng.integers(0, 1 << 63, self.steps, np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = rng.integers(0, 1 << 63, repeats, np.uint64)
         # the samples of a repetition are one from each of as many equal parts of the walk, so that they cover the window
@@ -107,25 +113,60 @@ class Walk:
             for low, high in zip(edges, edges[1:]):
                 self.sampled[r, rng.integers(low, high)] = True
 
+    def first(self, repeats: int) -> Walk:
+        """The first ``repeats`` of the repetitions."""
+        self.factor, self.salt, self.sampled = self.factor[:repeats], self.salt[:repeats], self.sampled[:repeats]
+        return self
+
     def keys(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Keys of the windows that begin at ``first``, one column for each repetition."""
         out = np.repeat(self.salt[:, None], len(first), axis=1)
-        at = np.zeros(len(first), np.int64)
         padded = np.append(ids, np.uint64(0))
-        for step in range(self.steps):
-            inside = at < self.size
-            symbol = np.where(inside, padded[np.where(inside, first + at, 0)], np.uint64(0))
-            mixed = symbol * self.factor[step]
-            wanted = np.flatnonzero(self.sampled[:, step])
-            if len(wanted):
-                part = (mixed ^ (mixed >> np.uint64(31))) * self.mixer[step]
-                for r in wanted:
-                    out[r] = (out[r] ^ part) * np.uint64(0x9E3779B97F4A7C15)
-                    out[r] ^= out[r] >> np.uint64(29)
-            at += (mixed >> np.uint64(63)).astype(np.int64)
+        for r, key in enumerate(out):
+            at = np.zeros(len(first), np.int64)
+            for step in range(np.flatnonzero(self.sampled[r])[-1] + 1):
+                inside = at < self.size
+                symbol = np.where(inside, padded[np.where(inside, first + at, 0)], np.uint64(0))
+                mixed = symbol * self.factor[r, step]
+                if self.sampled[r, step]:
+                    key ^= (mixed ^ (mixed >> np.uint64(31))) * self.mixer[step]
+                    key *= np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                at += (mixed >> np.uint64(63)).astype(np.int64)
         return out
 
 
+def edited(windows: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """``windows`` (one in a row) after ``edits`` random word edits each: substitutions, insertions and deletions alike. New
+    words and what fills up the end are unlike all others."""
+    out = np.empty_like(windows)
+    fresh = iter(rng.integers(1, 1 << 63, (2 * edits + 1) * len(windows) + 1, np.uint64))
+    for k, window in enumerate(windows):
+        row = list(window)
+        for kind, at in zip(rng.integers(0, 3, edits), rng.random(edits)):
+            at = int(at * len(row))
+            row[at : at + int(kind != 1)] = [next(fresh)] * int(kind != 2)
+        out[k] = [*row, *(next(fresh) for _ in range(len(windows[k]) - len(row)))][: windows.shape[1]]
+    return out
+
+
+@functools.lru_cache(maxsize=256)
+def planned(size: int, edits: int, recall: float, seed: int) -> Walk:
+    """The walks for windows of ``size`` words by which ``recall`` of simulated windows with ``edits`` edits meet: of those with
+    at most MOST_WALKS repetitions the one with the most samples, as they keep chance hits away."""
+    rng = np.random.default_rng([seed, size, edits])
+    plain = rng.integers(1, 1 << 63, (1_000, size), np.uint64)
+    other = edited(plain, edits, rng)
+    first = np.arange(len(plain)) * size
+    for samples in range(8 if edits else 1, 0, -1):
+        walk = Walk(size, MOST_WALKS if edits else 1, samples if edits else 3 * size, seed)
+        met = np.logical_or.accumulate(walk.keys(plain.ravel(), first) == walk.keys(other.ravel(), first), axis=0).mean(axis=1)
+        enough = np.flatnonzero(met >= recall)
+        if len(enough):
+            return walk.first(int(enough[0]) + 1)
+    raise ValueError(f"no {MOST_WALKS} walks over {size} words find {recall} of windows with {edits} edits")
+
+
 def edit_distances(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     """Word edits between the windows of ``a`` at ``x`` and of ``b`` at ``y``, for all pairs of windows at once."""
     row = np.repeat(np.arange(size + 1, dtype=np.int8)[:, None], len(x), axis=1)
@@ -156,9 +197,14 @@ class Items:
     def __post_init__(self) -> None:
         c = self.config
         self.hashed, self.starts = hashed, starts = word_ids(self.words)
-        for size, repeats, samples in ((c.run, c.repeats, c.samples), (c.short, 1, 3 * c.short)):
-            walk = Walk(size, repeats, samples, c.seed)
-            first, text = _windows(starts, size)
+        # equal windows of both sizes, then near ones: of ``run`` words, or as long as a shorter item
+        sizes = sorted({min(len(w), c.run) for w in self.words if len(w) >= c.short})
+        plans = [(Walk(size, 1, 3 * size, c.seed), False) for size in (c.run, c.short)]
+        for walk, near in [*plans, *((planned(size, c.edits_of(size), c.recall, c.seed), True) for size in sizes)]:
+            first, text = _windows(starts, walk.size)
+            if near and walk.size < c.run:
+                own = np.diff(starts)[text] == walk.size
+                first, text = first[own], text[own]
             keys = walk.keys(hashed, first)
             flat = keys.ravel()
             who, where = np.tile(text, len(keys)).astype(np.int32), np.tile(first - starts[text], len(keys)).astype(np.int32)
@@ -195,18 +241,9 @@ class Items:
         """Text number, item id and the verified figures of every leak; ``near``: also of windows with few edits."""
         c = self.config
         hashed, starts = word_ids(words)
-        text, item, at, of = self.met(0, hashed, starts)
         n_items = len(self.ids)
-        # one entry for windows that met by several keys, then exact verification of their edits
-        spot = _distinct(text * n_items + item, at, of)
-        text, item, at, of = text[spot], item[spot], at[spot], of[spot]
-        edits = edit_distances(hashed, self.hashed, starts[text] + at, self.starts[item] + of, c.run)
-        close = edits <= c.max_edits
-        pairs, edits = text[close] * n_items + item[close], edits[close]
-        found, first = np.unique(pairs, return_inverse=True)
-        least = np.full(len(found), c.max_edits + 1, np.int64)
-        np.minimum.at(least, first, edits)
-        edits_of = dict(zip(found.tolist(), least.tolist()))
+        text, item, _, _ = self.met(0, hashed, starts)
+        found = np.unique(text * n_items + item)
         text5, item5, _, of5 = self.met(1, hashed, starts)
         if len(text5):
             # a text can only hold half of an item's runs if as many of its windows met; equal runs of an item count once in
@@ -214,14 +251,36 @@ class Items:
             pair = (text5 * n_items + item5)[_distinct(text5 * n_items + item5, of5)]
             both, count = np.unique(pair, return_counts=True)
             found = np.union1d(found, both[count >= self.needed[both % n_items]])
-        for p in found.tolist():
+        full = {p: f for p in found.tolist() if (f := self._figures(words, *divmod(p, n_items)))[3]}
+        # with full leaks only, near windows are looked for just where there are any
+        edits_of = self._edits(words if near else [w if t in {p // n_items for p in full} else [] for t, w in enumerate(words)]) if near or full else {}
+        for p in sorted({*full, *edits_of} if near else full):
             t, i = divmod(p, n_items)
-            want = self.runs(self.words[i])
-            shared = len(want & self.runs(words[t]))
-            longest = _common_run(words[t], self.words[i])
-            least_edits = edits_of.get(p, c.max_edits + 1)
-            if longest >= c.run or want and shared >= c.share * len(want) or near and least_edits <= c.max_edits:
-                yield t, self.ids[i], longest, shared, len(want), least_edits
+            longest, shared, runs, _ = full.get(p) or self._figures(words, t, i)
+            yield t, self.ids[i], longest, shared, runs, edits_of.get(p, c.max_edits + 1)
+
+    def _figures(self, words: list[list[str]], t: int, i: int) -> tuple[int, int, int, bool]:
+        """Longest common run, shared runs and all runs of a text and an item, and whether that is a leak."""
+        want = self.runs(self.words[i])
+        shared = len(want & self.runs(words[t]))
+        longest = _common_run(words[t], self.words[i])
+        return longest, shared, len(want), bool(longest >= self.config.run or want and shared >= self.config.share * len(want))
+
+    def _edits(self, words: list[list[str]]) -> dict[int, int]:
+        """By text and item (text number times number of items plus item), the edits of their closest near windows."""
+        hashed, starts = word_ids(words)
+        least: dict[int, int] = {}
+        for which in range(2, len(self.walks)):
+            size = self.walks[which].size
+            text, item, at, of = self.met(which, hashed, starts)
+            # one entry for windows that met by several keys, then exact verification of their edits
+            spot = _distinct(text * len(self.ids) + item, at, of)
+            text, item, at, of = text[spot], item[spot], at[spot], of[spot]
+            edits = edit_distances(hashed, self.hashed, starts[text] + at, self.starts[item] + of, size)
+            close = edits <= self.config.edits_of(size)
+            for p, n in zip((text[close] * len(self.ids) + item[close]).tolist(), edits[close].tolist()):
+                least[p] = min(n, least.get(p, n))
+        return least
 
 
 def _common_run(a: list[str], b: list[str]) -> int:
@@ -244,7 +303,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
 
     A document contains an item if it has ``run`` consecutive words of its reference_answer, or at least ``share`` of the
     distinct runs of ``short`` consecutive words of it. With ``near``, windows of ``run`` words with at most ``max_edits``
-    word edits count too. Null ids take no part; null or empty texts and answers contain nothing; an answer of fewer than
+    word edits count too, and those as long as a shorter answer with as many in proportion (1 of 5 to 8 words, 2 of 9 to 12);
+    of windows with the most edits, the configuration's ``recall`` is found. Null ids take no part; null or empty texts and answers contain nothing; an answer of fewer than
     ``short`` words can't leak. Repeated documents or items give one row. Texts are read whole. An item block holds about
     half of ``block_words`` words; with more items there are more blocks, each over all documents.
     """

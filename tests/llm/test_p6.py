@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 pytest.importorskip("tessera.llm")
@@ -75,3 +76,29 @@ def test_near_and_edges(spark):
     assert near == {(1, 7): 2, (4, 7): 0, (5, 7): 0} or near == {(1, 7): 1, (4, 7): 0, (5, 7): 0}
     assert p6.find_leaks(d, spark.createDataFrame([], ITEMS)).count() == 0
     assert p6.find_leaks(spark.createDataFrame([], DOCS), i).count() == 0
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("size", [5, 7, 8, 9, 12, 13])
+def test_recall_of_near_windows(size):
+    """Of isolated windows whose brute-force distance is the most allowed, the stated part is found."""
+    config, rng = p6.LeakConfig(), np.random.default_rng(size)
+    words = [[f"w{k}" for k in rng.integers(0, 1 << 40, size)] for _ in range(400)]
+    ids = {}
+    plain = np.array([[ids.setdefault(w, len(ids) + 1) for w in row] for row in words], np.uint64)
+    most = config.edits_of(size)
+    other = [[f"w{k}x" for k in row] for row in p6.edited(plain, most, rng).tolist()]
+    mine = [[f"w{k}x" for k in row] for row in plain.tolist()]
+    held = p6.Items(config, list(range(len(mine))), mine)
+    want = {(k, k) for k in range(len(mine)) if _edits(mine[k], other[k]) <= most}
+    got = {(t, i): e for t, i, _, _, _, e in held.leaks(other, True)}
+    assert len(want) > 100 and len(want & set(got)) >= (config.recall - 0.03) * len(want)
+    assert all(e in (_edits(mine[i], other[t]), config.max_edits + 1) for (t, i), e in got.items())
