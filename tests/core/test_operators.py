@@ -2,6 +2,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,18 @@ def test_streaming_state_over_many_batches(spark, tmp_path):
 def test_frames(spark):
     raw = spark.createDataFrame([(1, "event: token\ndata: a b\n\nevent: done\ndata: {}\n\n")], "stream_id long, raw string")
     assert [(r.event, r.data) for r in progress.parse_frames(raw).orderBy("seq").collect()] == [("token", "a b"), ("done", "{}")]
+
+
+@pytest.mark.parametrize("most", [2_000, 5])
+def test_nearest_with_queries_of_other_lengths(spark, monkeypatch, most):
+    """A query of another length takes nothing from the rest, and has the neighbours of its own length."""
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", most)
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=3 if k % 4 else 2).tolist()) for k in range(60)]
+    asked = [(k, rng.normal(size=n).tolist()) for k, n in enumerate([3] * 12 + [2] * 3 + [7])]
+    got = {(r.query_id, r["rank"]): r.id for r in vectors.nearest(spark.createDataFrame(rows, "id long, vector array<double>"), spark.createDataFrame(asked, "query_id long, vector array<double>"), 4).collect()}
+    want = {}
+    for q, v in asked:
+        near = sorted((-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 6), k) for k, w in rows if len(w) == len(v))
+        want |= {(q, n): k for n, (_, k) in enumerate(near[:4], 1)}
+    assert got == want and len({q for q, _ in got}) == 15
