@@ -1,4 +1,4 @@
-"""The three modes over a tree of files: index it, ask it, and check its documentation against it.
+"""The three modes over a tree of files: index it, ask it, and check given claims of its documentation against it.
 
 An index is a folder of parquet tables: files, lines, chunks (by repository), vectors, postings, lengths, terms, edges and
 repos. ``lines`` has the number of lines of every file of the tree, as all of them can be cited.
