@@ -65,12 +65,30 @@ FILLERS = set("a an the this that these it its is are was be of to for in on by
 OUT = "parsed_id long, repo_id string, file_path string, symbol_name string, kind string, start_line int, end_line int, description string, pointer boolean, parents array<string>"
 
 
+_BEFORE_HEAD = re.compile(r"\s+|/\*.*?\*/|(?://|#(?!include|define|if|\[|!\[))[^\n]*|@(?!interface)[\w.]+(?:[ \t]*(?P<args>\())?", re.S)
+_HEAD_END = re.compile(r"[;{}]")
+
+
+def _head(body: str) -> str:
+    """The code of ``body`` from behind its leading comments and annotations to its first brace or semicolon, where a head
+    ends at the latest."""
+    at = 0
+    while m := _BEFORE_HEAD.match(body, at):
+        at = m.end()
+        depth = 1 if m["args"] else 0
+        while depth and at < len(body):
+            depth += {"(": 1, ")": -1}.get(body[at], 0)
+            at += 1
+    end = _HEAD_END.search(body, at)
+    return body[at : end.end() if end else len(body)]
+
+
 def kind_of(symbol_type: str | None, signature: str | None, body: str | None) -> str | None:
     """``function`` (also for methods and constructors), ``class`` (for what can hold methods), or None."""
     said = (symbol_type or "").strip().lower()
     if said:
         return "function" if said in FUNCTIONS else "class" if said in CLASSES else None
-    code = (signature or "").strip() or (body or "").lstrip()[:400]
+    code = (signature or "").strip() or _head(body or "")
     if _CLASS_CODE.match(code):
         return "class"
     return "function" if _FUNCTION_CODE.match(code) else None

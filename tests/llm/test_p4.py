@@ -65,3 +65,12 @@ def test_inheritance(spark):
     assert got == {2: (GOOD[0], 0), 5: (GOOD[0], 2)}
     assert p4.parents_of("class A(B, mod.C)", "class A(B, mod.C):\n") == ["B", "C"]
     assert p4.parents_of(None, "impl Shape for Circle {") == ["Shape"]
+
+
+def test_kind_by_a_long_head():
+    """What stands before a head and how long it is doesn't matter."""
+    params = ", ".join(f"int number{k}" for k in range(80))
+    for lead in ("", "/* " + "says a lot; " * 60 + "*/\n", "// one more line {}\n" * 40, '@Route(path = "/x", more = f(1))\n' * 20):
+        assert p4.kind_of(None, None, f"{lead}int sum({params}) {{\n  return 0;\n}}") == "function"
+        assert p4.kind_of(None, None, f"{lead}public class Sum {{\n}}") == "class"
+        assert p4.kind_of(None, None, f"{lead}x = {{1; 2}}") is None
