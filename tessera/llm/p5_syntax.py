@@ -4,16 +4,14 @@ A lexer for each language splits a text into code, literals and comments; a push
 are unterminated literals and comments, unbalanced delimiters, premature ends, and merge-conflict markers, patch headers and
 template placeholders outside of literals. What is left of the code after literals and comments are blanked is searched for
 neighbours that no grammar of the language allows: words of prose in a row, statements without what they must begin with or
-end in, and declarations of another language. For Python the interpreter's own parser, which is exact, has the last word.
+end in, and declarations of another language. Python's lexer keeps a second stack, of its blocks; see ``p5_python``.
 
 It is one map stage; repeated rows and the rates per repository and language are settled among its small results.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -21,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import language_column, map_arrow
+from tessera.llm.p5_python import python_fault
 from tessera.session import spread, table
 
 CLOSER = {"(": ")", "[": "]", "{": "}"}
@@ -32,6 +31,8 @@ _BLOCK = r"/\*.*?\*/"
 _DQ = r'"(?:[^"\\\n]|\\.)*"'
 _SQ = r"'(?:[^'\\\n]|\\.)*'"
 _OPEN = r"/\*|[\"'`]"
+#: To the end of its logical line; comments in it are part of it.
+_DIRECTIVE = r"(?P<d>(?:^|(?<=\n))[ \t]*#(?:[^\n\\/]|\\.|/\*(?:[^*]|\*(?!/))*\*/|/(?![*/]))*)"
 _BRACKET = r"[(){}\[\]]"
 
 
@@ -45,10 +46,9 @@ LEXERS = {
     "go": _lexer(rf"(?P<c>{_LINE}|{_BLOCK})", rf"(?P<s>{_DQ}|`[^`]*`|'(?:[^'\\\n]|\\.[^'\n]*)')", rf"(?P<x>{_OPEN})", rf"(?P<b>{_BRACKET})"),
     "java": _lexer(rf"(?P<c>{_LINE}|{_BLOCK})", rf'(?P<s>"""(?:[^\\]|\\.)*?"""|{_DQ}|\'(?:[^\'\\\n]|\\[^\n][0-9a-fA-F]*)\')', rf"(?P<x>{_OPEN})", rf"(?P<b>{_BRACKET})"),
     "rust": _lexer(rf"(?P<c>{_LINE})", r'(?P<s>\b(?:b|c)?r(?P<h>#*)".*?"(?P=h)|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n][^\'\n]*)\')', r"(?P<l>'[A-Za-z_]\w*)", rf"(?P<x>{_OPEN})", rf"(?P<b>{_BRACKET})"),
-    "c": _lexer(rf"(?P<c>{_C_LINE}|{_BLOCK})", r"(?P<d>(?:^|(?<=\n))[ \t]*#(?:[^\n\\/]|\\.|/(?![*/]))*)", rf"(?P<n>\b\d[\w.]*(?:'\w+)*)", rf"(?P<s>{_DQ}|'(?:[^'\\\n]|\\.[^'\n]*)+')", rf"(?P<x>{_OPEN})", rf"(?P<b>{_BRACKET})"),
-    "cpp": _lexer(rf"(?P<c>{_C_LINE}|{_BLOCK})", r"(?P<d>(?:^|(?<=\n))[ \t]*#(?:[^\n\\/]|\\.|/(?![*/]))*)", r"(?P<n>\b\d[\w.]*(?:'\w+)*)", r'(?P<s>R"(?P<h>[^()\\\s]{0,16})\(.*?\)(?P=h)"|' + _DQ + r"|'(?:[^'\\\n]|\\.[^'\n]*)+')", rf"(?P<x>{_OPEN})", rf"(?P<b>{_BRACKET})"),
+    "c": _lexer(rf"(?P<c>{_C_LINE}|{_BLOCK})", _DIRECTIVE, rf"(?P<n>\b\d[\w.]*(?:'\w+)*)", rf"(?P<s>{_DQ}|'(?:[^'\\\n]|\\.[^'\n]*)+')", rf"(?P<x>{_OPEN})", rf"(?P<b>{_BRACKET})"),
+    "cpp": _lexer(rf"(?P<c>{_C_LINE}|{_BLOCK})", _DIRECTIVE, r"(?P<n>\b\d[\w.]*(?:'\w+)*)", r'(?P<s>R"(?P<h>[^()\\\s]{0,16})\(.*?\)(?P=h)"|' + _DQ + r"|'(?:[^'\\\n]|\\.[^'\n]*)+')", rf"(?P<x>{_OPEN})", rf"(?P<b>{_BRACKET})"),
     "javascript": _lexer(rf"(?P<c>{_LINE}|{_BLOCK}|(?:^|(?<=\n))#![^\n]*)", rf"(?P<s>{_DQ}|{_SQ})", r"(?P<t>`)", r"(?P<r>/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*)", rf"(?P<x>/\*|[\"'])", rf"(?P<b>{_BRACKET})"),
-    "python": _lexer(r"(?P<c>#[^\n]*)", r'(?P<s>"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|' + _DQ + "|" + _SQ + ")", r"(?P<x>[\"'])", rf"(?P<b>{_BRACKET})"),
 }
 LEXERS["typescript"] = LEXERS["javascript"]
 _TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
@@ -92,16 +92,43 @@ def _words(text: str) -> str:
 def _rules(language: str) -> list[tuple[str, re.Pattern[str]]]:
     """Neighbours that the language's grammar doesn't allow, to be searched for in blanked code."""
     kw = _words(KEYWORDS[language])
-    name = rf"(?!(?:{kw})\b){_WORD}"
+    # capitals are macros there, which may stand for anything
+    name = rf"(?!(?:{kw})\b){_WORD}" if language not in ("c", "cpp") else rf"(?!(?:{kw}|[A-Z][A-Z0-9_]*)\b){_WORD}"
     row = {"javascript": 2, "typescript": 2, "java": 3, "go": 3, "rust": 2, "c": 4, "cpp": 4}[language]
     out = [
-        ("words in a row", rf"(?<![\w$.@#'])(?<!\d)(?:{name})(?:[ \t]+(?:{name})){{{row - 1}}}(?![\w$!])"),
+        ("words in a row", rf"(?<![\w$.@#'])(?<!\d)(?:{name})(?:[ \t]+(?:{name})){{{row - 1}}}(?![\w$!]" + (r"|[ \t]*\(" if language in ("c", "cpp") else "") + ")"),
         ("operands in a row", rf"(?<![\w$.])(?:{name}|\d[\w.]*)[ \t]+\d[\w.]*"),
         ("operands in a row", rf"(?<![\w$.])\d[\w.]*[ \t]+{name}(?![\w$])" if language != "cpp" else r"(?!)"),
-        ("words in a row", r"[A-Za-z_]\w*,[ \t]+(?:so|because|while|which|unless|until|not|except|provided)[ \t]+(?:the|that|to|a|each|every)[ \t]+\w+"),
     ]
+    # operators without an operand: before what closes or ends, at the start of what opens, and one after another
+    out += [
+        ("operand missing", r"[-=+%^/](?=\s*[;)\]}])(?<![=!<>.\[(*+/%&|^-]=)(?<!\+\+)(?<!--)(?<!//)" + ("" if language != "cpp" else r"(?<![r(].)")),
+        ("operand missing", r"[(\[=]\s*(?:[%^]|\|\|(?!\s*[\w&(\[{*!\x01-])|/(?![\w(*&\[]))\s*[\w(\x01]"),
+    ]
+    if language in ("javascript", "typescript", "java"):
+        out += [
+            ("operand missing", r"[-+/%^][ \t]*[*%^]|[(\[=][ \t]*[*%/^][ \t]*\w"),
+            ("operand missing", r"(?<![\w$.])(?:if|while|switch)[ \t]*\([ \t\n]*\)"),
+        ]
+    if language in ("java", "c", "cpp"):
+        out += [
+            ("statement without its end", r"(?<![\w$.])(?:return|throw|break|continue|goto)\b[^;{}:]*\}"),
+            ("operand missing", r"(?<![\w$.])(?:if|while|switch)[ \t]*\([ \t\n]*\)|,\s*;"),
+        ]
+    if language == "java":
+        out += [
+            ("operand missing", r",\s*[,)]|\([ \t]*,"),
+            ("statement without its end", r"(?<![=!<>])=(?!=)[^;{}(),]*\}"),
+            ("branch without its statement", r"[\w\x01)\]]\s*(?<![\w$.])else\b"),
+            ("type without a name", rf"(?<![\w$.])(?:{name})[ \t]*\((?:[^()]*,)?\s*(?:int|long|short|byte|char|float|double|boolean)\s*[,)]"),
+        ]
+    if language == "go":
+        out += [
+            ("operand missing", r",\s*,|\([ \t]*,"),
+            ("branch without its statement", r"\n\s*else\b|[ \t](?<=[^}\s][ \t])else\b"),
+        ]
     if language in ("javascript", "typescript", "java", "c", "cpp"):
-        out.append(("statement without its bracket", r"(?<![\w$.#@])(?:if|while|switch|for)\b(?![ \t\n]*(?:\(|constexpr|consteval|!|await\b))(?![ \t]*[:=,)\]};?.<])"))
+        out.append(("statement without its bracket", r"(?<![\w$.#@])(?:if|while|switch|for)\b(?![ \t\n]*(?:\(|constexpr|consteval|!|await\b" + (r"|(?:_?[A-Z][A-Z0-9_]*|\w*likely)[ \t]*\(" if language in ("c", "cpp") else "") + r"))(?![ \t]*[:=,)\]};?.<])"))
     if language in ("javascript", "typescript"):
         out += [
             ("other language", r"(?:^|(?<=\n))(?:static|#\w+|public|private|protected|package|pub|use|def|func|fn|impl)[ \t]+\w+"),
@@ -134,7 +161,7 @@ def _rules(language: str) -> list[tuple[str, re.Pattern[str]]]:
     if language in ("c", "cpp"):
         out += [
             ("other language", rf"(?:^|(?<=\n))(?:{_words(_FOREIGN_TOP[language])})[ \t]+[\w{{*.\"\x01]"),
-            ("other language", r"===|!==|=>|:="),
+            ("other language", r"===|!==|(?<!<)=>|:="),
         ]
     if language == "c":
         out.append(("other language", r"::|(?<![\w.])(?:namespace|class|template)(?:[ \t]+\w|[ \t]*<)"))
@@ -147,8 +174,9 @@ def _rules(language: str) -> list[tuple[str, re.Pattern[str]]]:
             ("other language", rf"(?:^|(?<=\n))(?:[ \t]{{2}}|\t){_WORD}[ \t]*=(?!=)"),
         ]
     if language in ("java", "c", "cpp", "rust"):
-        # a call or an assigned value ends its line and a new statement begins on the next
-        out.append(("statement without its end", rf"(?:^|(?<=\n))[ \t]+(?:(?:return|{_WORD}(?:[ \t]+[*&]?{_WORD})*[ \t]*=)[ \t]*)?(?!(?:if|for|while|switch|catch|else|synchronized|try|match|loop|unsafe|fn|pub|impl)\b){_WORD}(?:[.]{_WORD}|->{_WORD}|::{_WORD})*\([^(){{}}\n]*\)(?:\[[^\]\n]*\])?[ \t]*\n[ \t]*(?!(?:throws|const|noexcept|override|final|where)\b)(?:{_WORD}(?:[ \t]+{_WORD})*[ \t]*(?:=(?!=)|\(|\.|;|\[)|(?:return|if|for|while)\b)" + (r"(?!(?:[^{};]*)\{)" if language == "cpp" else "")))
+        # a call or an assigned value ends its line and a new statement begins on the next; a macro's call may end without a sign
+        macro = "" if language in ("java", "rust") else r"(?!_?[A-Z][A-Z0-9_]*\b|__)"
+        out.append(("statement without its end", rf"(?:^|(?<=\n))[ \t]+(?:(?:return|{_WORD}(?:[ \t]+[*&]?{_WORD})*[ \t]*=)[ \t]*)?{macro}(?!(?:if|for|while|switch|catch|else|synchronized|try|match|loop|unsafe|fn|pub|impl)\b){_WORD}(?:[.]{_WORD}|->{_WORD}|::{_WORD})*\([^(){{}}\n]*\)(?:\[[^\]\n]*\])?[ \t]*\n[ \t]*(?!(?:throws|const|noexcept|override|final|where)\b)(?:{_WORD}(?:[ \t]+{_WORD})*[ \t]*(?:=(?!=)|\(|\.|;|\[)|(?:return|if|for|while)\b)" + (r"(?!(?:[^{};]*)\{)" if language == "cpp" else "")))
         if language != "rust":
             out.append(("statement without its end", rf"(?:^|(?<=\n))[ \t]+return\b[^;{{}}()\n]*(?:\([^(){{}};\n]*\))?[^;{{}}()\n,+*/&|=<>?:.-]\n[ \t]*\}}"))
     return [(why, re.compile(rule)) for why, rule in out]
@@ -216,7 +244,7 @@ class Lexed:
             elif kind == "c":
                 out.append("\n" if "\n" in m.group() else " ")
             elif kind == "l":
-                out.append(" ")
+                out.append("\x02")
             elif kind == "d":
                 word = re.match(r"\s*#\s*(\w*)", m.group()).group(1)
                 if word in ("if", "ifdef", "ifndef"):
@@ -280,27 +308,16 @@ class Lexed:
         return -1
 
 
-def _python_fault(text: str) -> str | None:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            compile(text, "<file>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
-        except SyntaxError as e:
-            return str(e.msg)
-        except ValueError:
-            return "null bytes"
-        except (RecursionError, MemoryError):
-            return None  # too deep for the parser: what the lexer says stays
-    return ""
-
-
 def fault(text: str, language: str) -> str | None:
     """Why ``text`` isn't valid in ``language``, or None. Languages without a lexer have no faults."""
-    if language not in LEXERS or not text.strip():
+    if language not in LEXERS and language != "python" or not text.strip():
         return None
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = text.removeprefix("\ufeff")
+    if language == "python":
+        found = python_fault(text)
+        return found and ("conflict marker" if _CONFLICT.search(text) else "patch" if _PATCH.search(text) else found)
     lexed = Lexed(text, language)
     found = lexed.fault
     code = lexed.code
@@ -309,11 +326,6 @@ def fault(text: str, language: str) -> str | None:
         found = "conflict marker"
     elif marked and _PATCH.search(code):
         found = "patch"
-    if language == "python":
-        exact = _python_fault(text)
-        if exact is None:
-            return found
-        return (found or "grammar: " + re.sub(r"\W+", " ", exact)[:40].strip()) if exact else None
     if found:
         return found
     if _PLACEHOLDER.search(code):
