@@ -2,14 +2,15 @@
 
 ``classify_files`` gives, for every row, why a file is not hand-written source: ``notice`` (the file says that a tool
 emitted it), ``upstream`` (the file says that it is a copy of a project), ``vendored`` and ``generated_path`` (the path holds
-such files by convention), ``minified`` and ``data`` (the shape of the content). One Aho-Corasick automaton over all cue
-phrases reads each text once; only lines that hold a cue are looked at closer, and only as whole-line comments that speak
-of the file itself. It is one map stage without a shuffle of contents: repeated rows are dropped among the results.
+such files by convention), ``minified``, ``data`` and ``mechanical`` (the shape of the content). One Aho-Corasick automaton over all cue
+words reads each text once; only comments that hold a cue are looked at closer, by a small grammar of what a file says of itself
+(this file, was made, by a tool, at a version). It is one map stage without a shuffle of contents: repeated rows are dropped among the results.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import ahocorasick
@@ -20,12 +21,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_arrow
 from tessera.session import spread, table
 
-# Phrases (lower case) by which a file may speak of its origin.
+# Words (lower case) one of which any statement about a file's origin holds.
 GENERATED_CUES = [
-    "generated by", "generated from", "generated file", "generated code", "@generated", "auto-generated", "autogenerated",
-    "automatically generated", "produced automatically", "automatically produced", "machine-made", "machine generated",
-    "machine-generated", "do not edit", "do not modify", "hands off", "nicht von hand", "erzeugt", "généré",
-    "generado", "сгенерирован", "自動生成",
+    "generated", "autogen", "auto-gen", "produced", "created", "emitted", "written", "machine", "made by", "built by", "compiled", "derived", "translated", "transpiled",
+    "rendered", "do not", "don't", "must not", "never edit", "hands off", "overwritten", "will be lost", "erzeugt", "generiert", "erstellt", "généré", "produit", "créé",
+    "generad", "creado", "gerad", "criado", "generato", "prodotto", "creato", "wygenerowan", "utworzon", "сгенерирован", "создан", "自動生成", "自动生成", "生成", "생성", "object code from",
 ]
 UPSTREAM_CUES = [
     "upstream", "bundled copy", "vendored", "copied from", "copied verbatim", "taken from", "third-party", "third party",
@@ -35,23 +35,43 @@ UPSTREAM_CUES = [
 #: Comment marks before and after the words of a whole-line comment.
 COMMENT_LINE = re.compile(r"^\s*(?://[/!]*|#+!?|/\*+!?|\*+(?!/)|--|;+|%+|<!--|\"\"\"|''')\s*(?:!\s*)?(.*?)\s*(?:\*/|-->|\"\"\"|''')?\s*$")
 VERSION = r"v?\d+(?:\.\d+)+[\w.+-]*"
+# The words of a notice's grammar: what a file is called, what a tool does to it, and how or by what.
+_THIS = r"(?:(?:this|diese[rs]?|ce(?:tte)?|est[ea]|quest[oa]|ten|ta|этот|данный)\s+|この|本|此|该|이\s*)"
+_FILE = (
+    r"(?:(?:source|code|header|class|python|java|c|meta\s+object|lexical|model|client)\s+)?(?:files?|sources?|code|modules?|headers?|scripts?|class(?:es)?|contents?|documents?|parsers?|lexers?|scanners?|bindings?|stubs?|form"
+    r"|datei|quelltext|fichier|archivo|fichero|ficheiro|arquivo|código|sorgente|plik|kod|файл|код)\b|ファイル|コード|文件|代码|檔案|파일|코드"
+)
+_DONE = (
+    r"(?:(?:generated|produced|emitted|derived|translated|transpiled|rendered|autogenerated|auto-generated|erzeugt|generiert|erstellt|généré|produit|créé|generad[oa]|cread[oa]|gerad[oa]|criad[oa]"
+    r"|generat[oa]|prodott[oa]|creat[oa]|wygenerowan[yoae]|utworzon[yoae]|сгенерирован[ао]?|создан[ао]?)(?!\w)|自動生成|自动生成|生成|생성)"
+)
+_AUTO = r"(?:auto(?:matically|matisch|matiquement|máticamente|maticamente|maticamente|matycznie|mated)?(?!\w)|автоматически|自動|自动|자동)"
+_BY = r"(?:(?:by|from|with|using|via|von|aus|mit|durch|par|à\s+partir|avec|por|desde|con|da|dal|przez|z|из|с\s+помощью)(?!\w)|から|により|によって|由|从|에\s*의해)"
+_HANDS_OFF = r"(?:do\s+not|don't|must\s+not|never|please\s+do\s+not)\s+(?:be\s+)?(?:edit(?:ed)?|modify|modified|touch(?:ed)?|change[d]?|alter(?:ed)?)\b|hands\s+off"
+_OVERWRITTEN = r"(?:changes|edits|modifications)\b.{0,60}\b(?:lost|overwritten|discarded|undone)\b"
+_IS = r"(?:\s*(?:was|is|are|were|has\s+been|have\s+been|wurde|ist|wird|a\s+été|est|ha\s+sido|fue|es|foi|é|è\s+stat[oa]|è|został|jest|был|はツール|は|이|가|是))?"
+_TOOL = r"(?:the\s+)?['\"]?[\w@/][^\s,;]*(?:\s+(?!(?:is|are|was|and|so|when|if|which|that|below|above|here)\b)[\w(@/:.+#-][^\s,;]*){0,4}?"
+#: What can follow a tool's name: its version or a date, the end of the sentence, or what not to do.
+_VERSION = rf"[\s,(]+(?:version\s+)?(?:{VERSION}|(?<=version\s)\d+)"
+_SIGNED = rf"(?:{_VERSION}|\s+(?:on|at|from|in|by|using|with)\s+\S|\s*\(|\s*[.;,!—–-]*\s*(?:$|(?:source\s*:|https?:|{_HANDS_OFF})))"
 NOTICE = re.compile(
-    r"""^(?:
+    rf"""^(?:note\s*:\s*|warning\s*:\s*|\W+)?(?:
       @generated\b
-    | <auto-?generated>
-    | <auto-?generated\s*/>
-    | (?:this\s+)?(?:source\s+|code\s+)?file\s+(?:was|is|has\s+been)\s+(?:auto(?:matically)?[\s-]*)?(?:generated|produced|created|emitted|written)\b.*\b(?:automatically|by|from)\b
-    | (?:this\s+)?(?:code|source|file|content)\s+(?:was\s+|is\s+)?(?:auto(?:matically)?[\s-]*)?generated\s+(?:by|from|with|using)\b
-    | (?:auto(?:matically)?[\s-]*)generated\s+(?:file|from|by|code|with|using)\b(?!.*\bstub\b)
-    | generated\s+(?:by|from|with|using)\s+(?:the\s+)?\S+.*(?:do\s+not\s+(?:edit|modify)|\d\.\d)
-    | machine[\s-]+(?:made|generated|written)\s+(?:by|from)\b
-    | (?:do\s+not\s+(?:edit|modify)\b(?:\s+(?:this\s+file|by\s+hand|manually))?\s*[.!:;-]*\s*$)
-    | do\s+not\s+(?:edit|modify)\b.*\b(?:this\s+file\s+(?:is|was)|generated\s+(?:by|from|automatically))\b
-    | diese\s+datei\s+(?:wurde|ist)\b.*\b(?:erzeugt|generiert|erstellt)\b
-    | (?:ce\s+fichier|fichier)\b.*\bgénéré\b
-    | este\s+(?:archivo|fichero)\b.*\b(?:generado|creado\s+automáticamente)\b
-    | (?:этот\s+файл|файл)\b.*(?:сгенерирован|создан\s+автоматически)
-    | (?:この|本)?ファイル.*(?:自動生成|生成され)
+    | <auto-?generated\s*/?>
+    | (?:{_THIS}(?:{_FILE}){_IS}|(?:{_FILE}))\s*(?:{_AUTO}[\s-]*)?{_DONE}(?!\s*(?:code|files?|stubs?|client|types?)\b).*?(?:{_AUTO}|{_BY})
+    | {_THIS}(?:{_FILE}){_IS}\s*(?:.{{0,40}}?[\s,])?{_AUTO}[\s-]*(?:\w+\s+){{0,3}}?(?:{_DONE}|created|written|built|compiled|made)
+    | {_THIS}(?:{_FILE}){_IS}\s*(?:created|written|built|compiled|made)\s+{_AUTO}
+    | {_THIS}(?:{_FILE}){_IS}\s*{_DONE}\s*(?:[.;,!—–-]|$)
+    | {_THIS}(?:{_FILE}).{{0,60}}?(?:{_BY}).{{0,40}}?(?:生成|생성|自動|{_DONE})
+    | (?:auto(?:matically|matic)?|machine)[\s-]*(?:generated|made|written|produced|created)\s+(?:{_BY}\s|(?:file|code|source)\b)(?!.*\b(?:stubs?|method)\b)
+    | (?:generated|emitted)\s+(?:automatically\s+)?(?:by|using|with|via):?\s+{_TOOL}{_SIGNED}
+    | (?:produced|created|built|compiled|rendered|translated)\s+(?:automatically\s+)?(?:by|using|with|via):?\s+{_TOOL}{_VERSION}
+    | (?:generated|produced|created|derived|translated|compiled|rendered)\s+(?:automatically\s+)?from\s+\S+\.\w+
+    | (?:an?\s+)?(?:\w+\s+){{0,3}}?(?:{_FILE}),?\s+(?:made|generated|produced|created|from\s+reading)\s+(?:by\s+|from\s+)?{_TOOL}{_SIGNED}
+    | (?:\w+\s+)?generated\s+(?:code|file|source|content)s?\b\W*(?:{_HANDS_OFF})
+    | (?:{_HANDS_OFF})(?:\s+(?:this\s+file|by\s+hand|manually|it))*\s*[.!:;-]*\s*$
+    | (?:{_HANDS_OFF})\b.*\b(?:this\s+file\s+(?:is|was)|generated\s+(?:by|from|automatically))\b
+    | (?:any|all|manual|your|local)\s+(?:manual\s+)?{_OVERWRITTEN}
     )""",
     re.I | re.X,
 )
@@ -90,6 +110,8 @@ DATA_LINE = re.compile(
     )[ \t]*$""",
     re.X | re.M,
 )
+#: Characters of literals at the least that make a file data; fewer are a short table.
+DATA_LEAST = 72
 _WORD_SPACE = re.compile(r"[ \t\n]")
 
 OUT = "file_id long, reasons array<string>"
@@ -113,14 +135,35 @@ def path_reasons(path: str | None) -> list[str]:
     return out
 
 
+#: A line that gives a number to a name that ends in the same number.
+_NUMBERED = re.compile(r"^[^\n=]*?(\d+)\b[^=\n\d]*=[ \t]*(\d+)\b", re.M)
+_NAME, _DIGITS = re.compile(r"[A-Za-z_]\w*"), re.compile(r"\d+")
+_LITERALS = re.compile(r'"(?:[^"\\]|\\.)*"|[A-Za-z0-9+/=]{80,}|(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d+)\s*,')
+#: Members of a numbered series, and the part of the lines that are alike, of what only a tool writes out.
+SERIES, ALIKE, REPEATS = 16, 0.6, 8
+
+
+def mechanical(text: str) -> bool:
+    """Whether a long series of names numbered without a gap is written out, and most lines are alike but for their names."""
+    want = longest = 1
+    for m in _NUMBERED.finditer(text):
+        n = int(m[1])
+        if m[1] == m[2]:
+            want = n + 1 if n == want else 2 if n == 1 else want
+            longest = max(longest, want)
+    if longest <= SERIES:
+        return False
+    shapes = [_NAME.sub("w", _DIGITS.sub("0", x)) for x in map(str.strip, text.split("\n")) if len(x) > 3]
+    return sum(n for n in Counter(shapes).values() if n >= REPEATS) >= ALIKE * len(shapes)
+
+
 def shape_reasons(text: str) -> list[str]:
-    """What the shape of the content says: ``minified`` (long dense lines of code) or ``data`` (nearly all of it literals)."""
+    """What the shape of the content says: ``minified`` (long dense lines of code), ``data`` (nearly all of it literals) or
+    ``mechanical`` (a numbered series written out)."""
     n = len(text)
-    if n < 120:
-        return []
     out: list[str] = []
     data = sum(m.end() - m.start() for m in DATA_LINE.finditer(text))
-    if data >= 0.6 * n:
+    if data >= 0.6 * n and data >= DATA_LEAST:
         return ["data"]
     lines = text.split("\n")
     widest = max(map(len, lines))
@@ -129,11 +172,14 @@ def shape_reasons(text: str) -> list[str]:
         held = sum(map(len, long))
         if held >= 0.6 * n:
             body = "".join(long)
-            strings = sum(len(m) for m in re.findall(r'"(?:[^"\\]|\\.)*"|[A-Za-z0-9+/=]{80,}|(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d+)\s*,', body))
+            # words with blanks between them are a message, not data
+            strings = sum(len(m) for m in _LITERALS.findall(body) if m.count(" ") <= 0.05 * len(m))
             if strings >= 0.75 * held:
                 out.append("data")
             elif len(_WORD_SPACE.findall(body)) <= 0.14 * held and sum(map(body.count, ";,(){}")) >= 0.06 * held:
                 out.append("minified")
+    elif mechanical(text):
+        out.append("mechanical")
     return out
 
 
@@ -147,6 +193,10 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
+_HEADER = re.compile(r"(?:\s+|//[^\n]*|#(?!\s*(?:include|define|if|pragma)\b)[^\n]*|--[^\n]*|;[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|<!--.*?-->|\"\"\".*?\"\"\"|'{3}.*?'{3})*", re.S)
+_CLOSED = re.compile(r"\s*/\*(?:[^*]|\*(?!/))*\*/(?=\s*\S)")
+
+
 def notice_reasons(text: str, cues: ahocorasick.Automaton) -> list[str]:
     """What the file says of itself, in comment lines that hold a cue; strings and remarks about other files don't count."""
     low = text.lower()
@@ -154,6 +204,7 @@ def notice_reasons(text: str, cues: ahocorasick.Automaton) -> list[str]:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     out: set[str] = set()
     seen: set[int] = set()
+    header = -1  # where the comments at the beginning of the file end
     for end, _ in cues.iter(low):
         start = text.rfind("\n", 0, end) + 1
         if start in seen:
@@ -161,10 +212,13 @@ def notice_reasons(text: str, cues: ahocorasick.Automaton) -> list[str]:
         seen.add(start)
         stop = text.find("\n", end)
         line = text[start : stop if stop >= 0 else len(text)].rstrip("\r")
-        # a statement about the whole file isn't indented, except for the " * " of a block comment
-        if len(line) > 400 and not BANNER.match(line) or line[:1] in (" ", "\t") and not line.lstrip().startswith("*"):
-            continue
-        m = COMMENT_LINE.match(line)
+        # an indented comment speaks of the code around it, but for those at the file's beginning and the " * " of a block
+        if line[:1] in (" ", "\t") and not line.lstrip().startswith("*"):
+            header = _HEADER.match(text).end() if header < 0 else header
+            if start >= header:
+                continue
+        closed = _CLOSED.match(line)  # a comment that ends before its line does, as in a bundle
+        m = COMMENT_LINE.match(closed.group() if closed else line)
         if not m:
             continue
         said = m.group(1).lstrip("!* ").strip()

@@ -36,6 +36,80 @@ CASES = [
 ]
 
 
+#: Notices as public tools write them; none of their wordings is in the operator.
+NOTICES = """Code generated by protoc-gen-go. DO NOT EDIT.
+This file was automatically generated by SWIG (http://www.swig.org).
+A Bison parser, made by GNU Bison 3.8.2.
+Produced by bison 3.8.2
+A lexical scanner generated by flex
+Autogenerated by Thrift Compiler (0.13.0)
+Generated from Expr.g4 by ANTLR 4.9.3
+Generated by Django 4.2 on 2024-01-01 10:00
+Generated by Cython 0.29.21
+NOTE: This class is auto generated by OpenAPI Generator (https://openapi-generator.tech).
+This file is generated by jOOQ.
+Meta object code from reading C++ file 'window.h'
+Form generated from reading UI file 'window.ui'
+Generated using SwiftGen, https://github.com/SwiftGen/SwiftGen
+automatically generated by rust-bindgen 0.55.1
+This file was generated by the Eclipse Implementation of JAXB, v2.3.7
+This class was generated by the JAX-WS RI.
+Generated by GNU Autoconf 2.69.
+CMAKE generated file: DO NOT EDIT!
+This file is autogenerated by pip-compile with Python 3.11
+C code produced by gperf version 3.1
+This file was generated by json-schema-to-typescript. DO NOT MODIFY IT BY HAND
+Code generated by MockGen. DO NOT EDIT.
+Generated code -- do not touch
+Created by: The Qt Meta Object Compiler version 67
+This file has been emitted by a tool; any changes will be overwritten.
+Any changes to this file will be lost.
+Please do not edit this file manually.
+Questo file è stato generato automaticamente da maker.
+Este ficheiro foi gerado automaticamente por maker.
+Este arquivo é gerado por maker.
+Ten plik został wygenerowany automatycznie przez maker.
+Ce fichier a été généré automatiquement par maker.
+Este archivo fue generado por maker. No editar.
+Этот файл создан автоматически программой maker.
+此文件由 maker 自动生成，请勿修改
+このファイルは maker により自動生成されました
+이 파일은 maker에 의해 자동 생성되었습니다""".split("\n")
+REMARKS = """The parser is generated by the build from the grammar and checked in twice a year by hand.
+Values are generated by the caller and written to disk here.
+Generated files live in another folder and are never committed.
+Never edit vendored copies; patch them through this shim.
+Keep in sync with the auto-generated stubs (see make regen).
+This file writes the notice that generated code carries.
+Do not edit the order of these calls.
+This code is compiled with optimisations when the flag is set.
+Created by Jo Smith on 2024-01-01
+Built by the platform team.
+Do not change this without asking the owners.
+This module creates generated stubs for the client.
+Files are created from templates by the scaffold command in the next step""".split("\n")
+
+
+def test_notices_of_public_tools():
+    cues = p1._automaton()
+    missed = [x for x in NOTICES if p1.notice_reasons(f"# {x}\n" + CODE, cues) != ["notice"]]
+    assert len(missed) <= 0.03 * len(NOTICES), missed
+    wrong = [x for x in REMARKS if p1.notice_reasons(f"# {x}\n" + CODE, cues)]
+    assert not wrong, wrong
+
+
+def test_long_and_indented_lines_and_series():
+    cues = p1._automaton()
+    assert p1.notice_reasons("/* Code generated by maker v1.2. DO NOT EDIT. */" + "var a=1;" * 1_500 + "\n", cues) == ["notice"]
+    assert p1.notice_reasons("// Code generated by maker v1.2. DO NOT EDIT." + " " + "so it is " * 2_000 + "\n", cues) == ["notice"]
+    assert p1.notice_reasons("  // Code generated by maker v1.2. DO NOT EDIT.\n" + CODE, cues) == ["notice"]
+    assert p1.notice_reasons("def f():\n    # Code generated by maker v1.2. DO NOT EDIT.\n    return 1\n", cues) == []
+    assert p1.shape_reasons("T=[" + "1,22,3," * 12 + "]\n") == [] and p1.shape_reasons("0x12, 0x13, 0x14, 0x15, 0x16, 0x17,\n" * 3) == ["data"]
+    fields = "".join(f"ABC_{k} = {k}\n" for k in range(1, 40)) + "".join(f"def get_{k}(b):\n    x = decode(b, {k})\n    return x\n\n" for k in range(1, 40))
+    assert p1.shape_reasons(fields) == ["mechanical"]
+    assert p1.shape_reasons("".join(f"ABC_{k} = {k}\n" for k in range(1, 9)) + CODE * 4) == []
+
+
 def test_cases(spark):
     rows = [(k, p, t, "x", "clash") for k, (p, t, _) in enumerate(CASES)]
     got = {r.file_id: set(r.reasons) for r in p1.classify_files(spark.createDataFrame(rows, SCHEMA)).collect()}
