@@ -4,11 +4,13 @@ A map stage finds for every chunk what it is (from symbol_type or, without one,
 docstring or what opens its body), which of that describes it once markers, tags, placeholders, directives, licences, code
 and restated names are gone, and for classes which classes they extend. Functions that have nothing of their own, or only a
 pointer to their parent, are then joined level by level with the method of the same name in the classes above theirs, until
-a description is found or no class is left; what stays without one is dropped.
+a description is found or no class is left; what stays without one is dropped. A function's own documentation is level 0 of
+the same search.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow
+from tessera.llm.common import language_column, map_arrow
 from tessera.session import spread, table, written
 
 # Kinds of symbols, and words of languages that begin their declarations.
@@ -62,7 +64,7 @@ _HTML = re.compile(r"</?[A-Za-z][^<>]*>")
 _SPLIT = re.compile(r"(?<=[^\W\d_])[_\W]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[_\W]+")
 # Words that say nothing beyond a name.
 FILLERS = set("a an the this that these it its is are was be of to for in on by with and or method function constructor class func fn procedure routine call calls called implementation implements implement does do performs perform here".split())
-OUT = "parsed_id long, repo_id string, file_path string, symbol_name string, kind string, start_line int, end_line int, description string, pointer boolean, parents array<string>"
+OUT = "parsed_id long, repo_id string, file_path string, symbol_name string, kind string, language string, start_line int, end_line int, description string, pointer boolean, parents array<string>"
 
 
 _BEFORE_HEAD = re.compile(r"\s+|/\*.*?\*/|(?://|#(?!include|define|if|\[|!\[))[^\n]*|@(?!interface)[\w.]+(?:[ \t]*(?P<args>\())?", re.S)
@@ -94,6 +96,9 @@ def kind_of(symbol_type: str | None, signature: str | None, body: str | None) ->
     return "function" if _FUNCTION_CODE.match(code) else None
 
 
+_LINE_ENDS = re.compile(r"[ \t]*(?:#[^\n]*)?\n")
+
+
 def opening(body: str) -> str:
     """The comment before a body's code or, after its header, the comment or string literal that opens it."""
     text = body.replace("\r\n", "\n")
@@ -107,7 +112,7 @@ def opening(body: str) -> str:
             depth += 1
         elif ch in ")]":
             depth -= 1
-        elif depth <= 0 and (ch == "{" or ch == ":" and re.match(r"[ \t]*(?:#[^\n]*)?\n", text[m.end() : m.end() + 200])):
+        elif depth <= 0 and (ch == "{" or ch == ":" and _LINE_ENDS.match(text, m.end())):
             if ch == "{" and re.search(r"(?:->|:)\s*$", text[: m.start()]):  # a type's brace
                 continue
             rest = text[m.end() :]
@@ -164,7 +169,7 @@ def description(doc: str, name: str, signature: str | None = None) -> tuple[str,
         remark = bool(_INNER_MARK.match(line))
         line = _LINE_MARK.sub("", line) if remark else line
         line = _HTML.sub(" ", _INLINE_TAG.sub(r"\1", line)).strip()
-        if _INHERIT.search(line) and len(line) < 120:
+        if _INHERIT.search(line):
             pointer = True
         if not line or not re.search(r"\w", line):
             if not line:
@@ -221,78 +226,92 @@ def parents_of(signature: str | None, body: str | None) -> list[str]:
     return list(dict.fromkeys(n for n in out if n != "object"))
 
 
-def document_chunks(chunks: DataFrame, need_classes: bool = True) -> DataFrame:
-    """Rows of OUT, one for each row of ``chunks`` that is a function or (with ``need_classes``) may hold methods."""
+def document_chunks(chunks: DataFrame) -> DataFrame:
+    """Rows of OUT, one for each row of ``chunks`` that is a function or may hold methods."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
         out: list[tuple] = []
-        for i, repo, path, name, symbol_type, signature, doc, body, start, end in zip(*columns):
+        for i, repo, path, name, symbol_type, signature, doc, body, language, start, end in zip(*columns):
             kind = kind_of(symbol_type, signature, body)
-            if kind == "class" and need_classes:
-                out.append((i, repo, path, name, kind, start, end, "", False, parents_of(signature, body)))
+            if kind == "class":
+                out.append((i, repo, path, name, kind, language, start, end, "", False, parents_of(signature, body)))
             elif kind == "function":
                 text, pointer = description(doc if doc and doc.strip() else opening(body or ""), name or "", signature)
-                out.append((i, repo, path, name, kind, start, end, text, pointer, None))
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string())]
+                out.append((i, repo, path, name, kind, language, start, end, text, pointer, None))
+        types = [pa.int64(), *[pa.string()] * 5, pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string())]
         names = [x.split()[0] for x in OUT.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 10, types)], names)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 11, types)], names)
 
     rows = chunks.select(
         F.col("parsed_id").cast("long").alias("parsed_id"), *(F.col(c).cast("string").alias(c) for c in ("repo_id", "file_path", "symbol_name", "symbol_type", "signature", "docstring", "body")),
-        F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"),
+        language_column(F.col("language").cast("string"), F.col("file_path").cast("string")).alias("language"), F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"),
     )
     return map_arrow(spread(rows).where("parsed_id is not null"), work, OUT, "body")
 
 
-def described(chunks: DataFrame) -> DataFrame:
-    """Rows (parsed_id, description) of the functions, methods and constructors whose own documentation describes them.
+def class_parents(classes: DataFrame) -> DataFrame:
+    """Rows (class_id, parent_id) of classes (class_id, repo_id, language, file_path, class_name, parents).
 
-    Null parsed_ids give nothing. Repeated rows count once (with the smallest description, if they differ). A null or blank
-    docstring is replaced by what opens the body; a null body opens with nothing; a null name can't be restated. Texts are
-    read whole.
+    A parent's name means the class of that name in the same file, else in the same folder, else in the repository, of the same
+    language; of several the one with the smallest id. Each look-up has one row a key, so none multiplies rows.
     """
-    found = document_chunks(chunks, need_classes=False).where("description <> ''")
-    return found.groupBy("parsed_id").agg(F.min("description").alias("description"))
-
-
-def pairs(chunks: DataFrame, most_levels: int = 16) -> DataFrame:
+    folder = F.regexp_replace("file_path", "[^/]*$", "")
+    known = classes.select("class_id", "repo_id", F.coalesce("language", F.lit("")).alias("language"), "file_path", folder.alias("folder"), F.col("class_name").alias("parent"), "parents")
+    named = known.select("class_id", "repo_id", "language", "file_path", "folder", F.explode("parents").alias("parent"))
+    for n, place in enumerate((["file_path"], ["folder"], [])):
+        keys = ["repo_id", "language", *place, "parent"]
+        # the two smallest ids, as a class isn't its own parent
+        there = known.groupBy(*keys).agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+        named = named.join(there, keys, "left").withColumn(f"found{n}", F.when(F.col("low") != F.col("class_id"), F.col("low")).when(F.col("high") != F.col("class_id"), F.col("high"))).drop("low", "high")
+    return named.select("class_id", F.coalesce("found0", "found1", "found2").alias("parent_id")).where("parent_id is not null").distinct()
+
+
+def pairs(chunks: DataFrame) -> DataFrame:
     """Rows (parsed_id, description, levels): code–description pairs with inherited descriptions, ``levels`` classes above.
 
-    A method belongs to the smallest class chunk of its file that encloses its lines. Classes are found by name within their
-    repository. A method without a description takes that of the method of its name in a class that its own extends, the
-    nearest level first, the smallest parsed_id within a level. Hierarchies end after ``most_levels`` levels, which also ends
-    circular ones. Functions without a description at the end are dropped.
+    A function's own description is level 0. A method belongs to the smallest class chunk of its file that encloses its lines.
+    One without a description takes that of the method of its name in a class that its own extends, the nearest level first,
+    the class with the smallest id within a level; classes are resolved by ``class_parents``. No class is visited twice for a method,
+    so circular hierarchies end, and there is no limit to the levels. What has no description at the end is dropped.
+
+    Null parsed_ids give nothing. Repeated rows count once (with the smallest description, if they differ). A null or blank
+    docstring is replaced by what opens the body; a null body opens with nothing; a null name can't be restated nor inherits;
+    without a repository or path there is no class. Texts are read whole.
     """
-    rows = written(document_chunks(chunks).distinct(), "p4-chunks")
-    own = rows.where("kind = 'function' and description <> ''").groupBy("parsed_id").agg(F.min("description").alias("description")).withColumn("levels", F.lit(0))
-    classes = rows.where("kind = 'class'").select("repo_id", "file_path", F.col("symbol_name").alias("class_name"), F.col("start_line").alias("class_start"), F.col("end_line").alias("class_end"), "parents")
-    methods = rows.where("kind = 'function'").select("parsed_id", "repo_id", "file_path", "symbol_name", "start_line", "end_line", "description")
-    held = methods.join(classes.drop("parents"), ["repo_id", "file_path"]).where("class_start <= start_line and class_end >= end_line and class_name <> symbol_name or class_start <= start_line and class_end >= end_line and class_end - class_start > end_line - start_line")
-    smallest = F.min_by("class_name", F.struct(F.col("class_end") - F.col("class_start"), "class_name")).alias("class_name")
-    placed = held.groupBy("parsed_id", "repo_id", "symbol_name", "description").agg(smallest)
-    above = classes.select("repo_id", "class_name", F.explode("parents").alias("parent")).distinct()
-    if not above.limit(1).count():
-        return own
-    above = written(above, "p4-above")
-    placed = written(placed, "p4-methods")
-    donors = placed.where("description <> ''").groupBy("repo_id", "class_name", "symbol_name").agg(F.min_by("description", "parsed_id").alias("description"))
-    waiting = placed.where("description = ''").select("parsed_id", "repo_id", "symbol_name", F.col("class_name").alias("at"))
-    out = own
-    for level in range(1, most_levels + 1):
-        climbed = waiting.join(above.withColumnRenamed("class_name", "at"), ["repo_id", "at"]).select("parsed_id", "repo_id", "symbol_name", F.col("parent").alias("at")).distinct()
-        climbed = written(climbed, "p4-level")
+    rows = written(document_chunks(chunks), "p4-chunks")
+    place = F.min(F.struct("repo_id", "file_path", "symbol_name", "language", "start_line", "end_line")).alias("at")
+    own = F.min(F.when(F.col("description") != "", F.col("description"))).alias("description")
+    functions = written(rows.where("kind = 'function'").groupBy("parsed_id").agg(own, place).select("parsed_id", "description", "at.*"), "p4-functions")
+    classes = rows.where("kind = 'class'").groupBy(F.col("parsed_id").alias("class_id")).agg(place, F.flatten(F.collect_set("parents")).alias("parents"))
+    classes = classes.select("class_id", "at.repo_id", "at.language", "at.file_path", F.col("at.symbol_name").alias("class_name"), F.col("at.start_line").alias("class_start"), F.col("at.end_line").alias("class_end"), F.array_distinct("parents").alias("parents"))
+    classes = written(classes, "p4-classes")
+    above = written(class_parents(classes), "p4-above")
+
+    held = functions.join(classes.select("class_id", "repo_id", "file_path", "class_name", "class_start", "class_end"), ["repo_id", "file_path"])
+    held = held.where("class_start <= start_line and class_end >= end_line and (class_name <> symbol_name or class_end - class_start > end_line - start_line)")
+    smallest = F.min_by("class_id", F.struct(F.col("class_end") - F.col("class_start"), "class_id")).alias("class_id")
+    placed = written(held.groupBy("parsed_id", "symbol_name", "description").agg(smallest), "p4-methods")
+    donors = placed.where("description is not null").groupBy(F.col("class_id").alias("at"), "symbol_name").agg(F.min_by("description", "parsed_id").alias("inherited"))
+    waiting = placed.where("description is null").select("parsed_id", "symbol_name", F.col("class_id").alias("at"))
+    seen, parts, level = waiting.select("parsed_id", "at"), [], 0
+    while True:
+        level += 1
+        step = waiting.join(above.withColumnRenamed("class_id", "at"), "at").select("parsed_id", "symbol_name", F.col("parent_id").alias("at")).distinct()
+        climbed = written(step.join(seen, ["parsed_id", "at"], "left_anti"), "p4-level")
+        found = climbed.join(donors, ["at", "symbol_name"]).groupBy("parsed_id").agg(F.min_by("inherited", "at").alias("inherited"), F.lit(level).alias("above"))
+        parts.append(written(found, "p4-found"))
         if not climbed.limit(1).count():
             break
-        found = climbed.join(donors.withColumnRenamed("class_name", "at"), ["repo_id", "at", "symbol_name"]).groupBy("parsed_id").agg(F.min("description").alias("description"))
-        found = written(found.withColumn("levels", F.lit(level)), "p4-found")
-        out = out.unionByName(found)
-        waiting = climbed.join(found.select("parsed_id"), "parsed_id", "left_anti")
-    return out
+        waiting, seen = climbed.join(parts[-1], "parsed_id", "left_anti"), seen.unionByName(climbed.select("parsed_id", "at"))
+    inherited = functools.reduce(DataFrame.unionByName, parts)
+    both = functions.join(inherited, "parsed_id", "left").select("parsed_id", F.coalesce("description", "inherited").alias("description"), F.when(F.col("description").isNotNull(), 0).otherwise(F.col("above")).alias("levels"))
+    return both.where("description is not null")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described(table(spark, sf_dir, "parsed_chunks")).select("parsed_id")
+    """The functions that are described where they stand: what is only inherited is a pointer elsewhere."""
+    return pairs(table(spark, sf_dir, "parsed_chunks")).where("levels = 0").select("parsed_id")
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

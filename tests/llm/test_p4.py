@@ -48,9 +48,9 @@ def test_found_and_edges(spark):
         _row(4, "C", None, GOOD[0], "class C:\n    pass", signature="class C"), _row(5, "f", "METHOD", " \n", "void f() {\n  // Reads the next of all rows here.\n}"), _row(6, None, "method", GOOD[1], None), _row(None, "f", "method", GOOD[0], "x"),
         _row(7, "f", "method", None, None), _row(8, "f", "constructor", "", ""), _row(9, "f", "file", GOOD[0], "x"), _row(10, "f", "method", GOOD[0] + " more" * 100_000, "x"),
     ]
-    got = {r.parsed_id for r in p4.described(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.parsed_id for r in p4.pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1, 3, 5, 6, 10}
-    assert p4.described(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert p4.pairs(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_inheritance(spark):
@@ -67,6 +67,26 @@ def test_inheritance(spark):
     assert p4.parents_of(None, "impl Shape for Circle {") == ["Shape"]
 
 
+def test_planted_hierarchies(spark):
+    """20 levels, the nearest overriding one first, a circle, and classes of one name in other files and languages."""
+    rows = []
+    for k in range(20):
+        rows += [_row(100 + k, f"L{k}", "class", None, f"class L{k}" + (f" extends L{k - 1}" if k else "") + " {", 1, 30, path=f"p/l{k}.java"), _row(200 + k, "read", "method", GOOD[0] if k in (0, 7) else "", "void read() {}", 2, 4, path=f"p/l{k}.java")]
+    rows += [_row(300, "write", "method", GOOD[1], "void write() {}", 6, 8, path="p/l0.java"), _row(301, "write", "method", "", "void write() {}", 6, 8, path="p/l19.java")]
+    # two classes named Box: the one in the same file counts, then the one in the same folder; a Python class of the name never
+    rows += [_row(400, "Box", "class", None, "class Box {", 1, 9, path="a/x.java"), _row(401, "open", "method", "Opens the lid of this box slowly.", "void open() {}", 2, 3, path="a/x.java")]
+    rows += [_row(410, "Box", "class", None, "class Box {", 1, 9, path="b/x.java"), _row(411, "open", "method", "Unwraps the content of another parcel.", "void open() {}", 2, 3, path="b/x.java")]
+    rows += [_row(420, "Crate", "class", None, "class Crate extends Box {", 11, 19, path="b/x.java"), _row(421, "open", "method", "", "void open() {}", 12, 13, path="b/x.java")]
+    rows += [_row(430, "Tin", "class", None, "class Tin extends Box {", 1, 9, path="a/y.java"), _row(431, "open", "method", "", "void open() {}", 2, 3, path="a/y.java")]
+    other = lambda r: r[:10] + ("python",) + r[11:]
+    rows += [other(_row(440, "Lid", "class", None, "class Lid(Box):", 1, 9, path="a/z.py")), other(_row(441, "open", "method", "", "def open(self):", 2, 3, path="a/z.py"))]
+    got = {r.parsed_id: (r.description, r.levels) for r in p4.pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {200 + k: (GOOD[0], k if k < 7 else k - 7) for k in range(20)}
+    want |= {300: (GOOD[1].removeprefix("// "), 0), 301: (GOOD[1].removeprefix("// "), 19)}
+    want |= {401: ("Opens the lid of this box slowly.", 0), 411: ("Unwraps the content of another parcel.", 0), 421: ("Unwraps the content of another parcel.", 1), 431: ("Opens the lid of this box slowly.", 1)}
+    assert got == want
+
+
 def test_kind_by_a_long_head():
     """What stands before a head and how long it is doesn't matter."""
     params = ", ".join(f"int number{k}" for k in range(80))
