@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import bm25, chunking, drift, fusion, graph, grounding, parsing, store, vectors
-from tessera.session import by_key, spread, table, written
+from tessera.session import by_key, shared, spread, table, written
 from tessera.sources import files as src
 from tessera.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 NOW = "2025-06-01 00:00:00"
+#: What was indexed before is in the cache of cache_probe.
+CACHED_UNTIL = "2025-06-10 00:00:00+00:00"
 
 
 def query(sql: str | None = None) -> Callable:
@@ -39,11 +41,15 @@ def query(sql: str | None = None) -> Callable:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each chunk_id."""
-    used = ("chunk_id", "repo_id", "file_path", "symbol_name", "signature", "body", "symbol_type", "start_line", "end_line")
-    c = by_key(table(spark, d, "index_chunks").where("chunk_id is not null").select(*used), "chunk_id")
-    first = lambda x: F.max(x).alias(x)
-    return c.groupBy("chunk_id").agg(*map(first, ("repo_id", "file_path", "symbol_name", "signature", "body")), F.max(F.lower(F.trim("symbol_type"))).alias("kind"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
+    """One row for each chunk_id; written once for all queries that read it."""
+
+    def make() -> DataFrame:
+        used = ("chunk_id", "repo_id", "file_path", "symbol_name", "signature", "body", "symbol_type", "start_line", "end_line")
+        c = by_key(table(spark, d, "index_chunks").where("chunk_id is not null").select(*used), "chunk_id")
+        first = lambda x: F.max(x).alias(x)
+        return c.groupBy("chunk_id").agg(*map(first, ("repo_id", "file_path", "symbol_name", "signature", "body")), F.max(F.lower(F.trim("symbol_type"))).alias("kind"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
+
+    return shared(spark, d, "chunks", "index_chunks", make)
 
 
 CHUNKS = """chunks as (select chunk_id, max(repo_id) repo_id, max(file_path) file_path, max(symbol_name) symbol_name, max(signature) signature,
@@ -261,12 +267,12 @@ def greedy_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {INDEX} select term, df, round(idf, 6) idf from terms")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.build_index(corpus(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _index(spark: SparkSession, d: str) -> bm25.Bm25Index:
-    """The index in the shared folder, as several plans read it."""
-    return bm25.build_index(corpus(spark, d), keep=written)
+    """The inverted index of the chunks, built once for all queries."""
+    return bm25.build_index(corpus(spark, d), keep=lambda df, name: shared(spark, d, name, "index_chunks", lambda: df))
 
 
 def _bm25_leg(spark: SparkSession, d: str) -> DataFrame:
@@ -274,7 +280,7 @@ def _bm25_leg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dense_leg(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus(spark, d).select("id", T.sha_vector(F.col("text")).alias("vector"))
+    rows = shared(spark, d, "vectors", "index_chunks", lambda: corpus(spark, d).select("id", T.sha_vector(F.col("text")).alias("vector")))
     return vectors.nearest(rows, asked(spark, d).select("query_id", T.sha_vector(F.col("text")).alias("vector")), 20)
 
 
@@ -357,8 +363,10 @@ def _imports(c: DataFrame) -> DataFrame:
     return c.select(F.col("chunk_id").alias("src"), "repo_id", F.explode(parsing.imported_names()).alias("name"))
 
 
-def _graph(c: DataFrame) -> DataFrame:
-    return graph.build(c, _imports(c))
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the symbol graph, built once for all queries."""
+    c = chunks(spark, d)
+    return shared(spark, d, "edges", "index_chunks", lambda: graph.build(c, _imports(c)))
 
 
 @query(f"with {CHUNKS}, {EDGES} select src, dst from imp")
@@ -369,19 +377,19 @@ def import_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {CHUNKS}, {EDGES} select src, dst, type from edges")
 def symbol_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(written(chunks(spark, d), "graph-chunks"))
+    return _graph(spark, d)
 
 
-SEEDS = "seeds as (select distinct chunk_id seed from chunks where kind in ('class', 'impl', 'struct'))"
+SEEDS = "seeds as (select distinct chunk_id seed from chunks)"
 
 
 @query(f"""with recursive {CHUNKS}, {EDGES}, {SEEDS}, both_ways as (select src, dst from edges union select dst, src from edges),
 walk(seed, id, depth) as (select seed, seed, 0::bigint from seeds union select seed, dst, depth + 1 from walk join both_ways on src = id where depth < 2)
 select seed, id, min(depth) depth from walk where id <> seed group by 1, 2""")
 def khop_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    c = written(chunks(spark, d), "graph-chunks")
-    seeds = c.where(F.col("kind").isin("class", "impl", "struct")).select(F.col("chunk_id").alias("seed"))
-    return graph.neighbours(written(_graph(c), "edges"), seeds, 2)
+    c = chunks(spark, d)
+    seeds = c.select(F.col("chunk_id").alias("seed"))
+    return graph.neighbours(_graph(spark, d), seeds, 2)
 
 
 @query(f"""with {RERANKED}, {EDGES}, both_ways as (select src, dst from edges union select dst, src from edges),
@@ -389,8 +397,7 @@ fresh as (select query_id, dst id, min(rank) seed_rank from reranked join both_w
 every as (select query_id, id, 0 part, rank seed_rank from reranked union all select query_id, id, 1, seed_rank from fresh)
 select query_id, id, rank, part = 0 seed from (select *, row_number() over (partition by query_id order by part, seed_rank, id) rank from every) where rank <= 12""")
 def graph_expand(spark: SparkSession, d: str) -> DataFrame:
-    edges = written(_graph(written(chunks(spark, d), "graph-chunks")), "edges")
-    return graph.expand(edges, written(_reranked(spark, d).select("query_id", "id", "rank"), "reranked"))
+    return graph.expand(_graph(spark, d), written(_reranked(spark, d).select("query_id", "id", "rank"), "reranked"))
 
 
 @query(f"""with {RERANKED}, {EDGES}, both_ways as (select src, dst from edges union select dst, src from edges),
@@ -401,11 +408,11 @@ select query_id, n_dense, n_words, n_fused, n_reranked, least(12, n_reranked + n
 def candidate_funnel(spark: SparkSession, d: str) -> DataFrame:
     dense, words = written(_dense_leg(spark, d), "dense"), written(_bm25_leg(spark, d), "words")
     fused = written(fusion.fuse([dense, words], 20), "fused")
-    c = written(chunks(spark, d), "graph-chunks")
+    c = chunks(spark, d)
     text = fusion.preview(F.col("file_path"), F.col("symbol_name"), F.col("signature"), F.col("body"))
     rows = fused.join(c.select(F.col("chunk_id").alias("id"), text.alias("text")), "id").join(asked(spark, d).withColumnRenamed("text", "query"), "query_id")
     best = written(fusion.rerank(rows, 8).select("query_id", "id", "rank"), "reranked")
-    grown = graph.expand(written(_graph(c), "edges"), best)
+    grown = graph.expand(_graph(spark, d), best)
     out = asked(spark, d).select("query_id")
     for name, stage in (("n_dense", dense), ("n_words", words), ("n_fused", fused), ("n_reranked", best), ("n_expanded", grown)):
         out = out.join(stage.groupBy("query_id").agg(F.count("*").alias(name)), "query_id", "left")
@@ -449,7 +456,7 @@ grounded as (select a.answer_id, coalesce(round(avg(best), 4), 0.0) score from a
 
 
 def _grounded(spark: SparkSession, d: str) -> DataFrame:
-    a, c = answers(spark, d), written(chunks(spark, d), "chunks")
+    a, c = answers(spark, d), chunks(spark, d)
     premises = grounding.cited_chunks(grounding.cited(a), c).join(c.select("chunk_id", F.col("body").alias("premise")), "chunk_id")
     return grounding.ground(a, premises)
 
@@ -542,15 +549,13 @@ def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("repo_id").agg(F.count_distinct("path").alias("files"))
 
 
-@query("""with k as (select distinct chunk_id, sha256('stub' || chr(10) || body) key, indexed_at from index_chunks where body is not null),
-cache as (select distinct key from k where indexed_at < (select quantile_disc(indexed_at, 0.5) from k)) select count(*) filter (key in (select key from cache)) hits, count(*) filter (key not in (select key from cache)) misses from (select distinct chunk_id, key from k)""")
+@query(f"""with k as (select distinct chunk_id, sha256('stub' || chr(10) || body) key, indexed_at from index_chunks where body is not null),
+cache as (select distinct key from k where indexed_at < timestamptz '{CACHED_UNTIL}') select count(*) filter (key in (select key from cache)) hits, count(*) filter (key not in (select key from cache)) misses from (select distinct chunk_id, key from k)""")
 def cache_probe(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "index_chunks").where("body is not null").select("chunk_id", store.cache_key("stub", "body").alias("key"), "indexed_at").distinct()
     rows = written(rows, "keys")
-    middle = rows.select(F.unix_micros("indexed_at").alias("t")).agg(F.expr("percentile_disc(0.5) within group (order by t)").cast("long").alias("t"))
-    old = rows.join(F.broadcast(middle)).where(F.unix_micros("indexed_at") < F.col("t"))
-    hit, miss = store.probe(rows.select("chunk_id", "key").distinct(), old)
-    return hit.agg(F.count("*").alias("hits")).join(miss.agg(F.count("*").alias("misses")))
+    hit, miss = store.probe(rows.select("chunk_id", "key").distinct(), rows.where(F.col("indexed_at") < F.lit(CACHED_UNTIL).cast("timestamp")))
+    return hit.agg(F.count("*").alias("hits")).crossJoin(miss.agg(F.count("*").alias("misses")))
 
 
 @query("""with f as (select repo_id, count(distinct path) files from files group by 1)

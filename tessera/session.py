@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-__all__ = ["by_key", "cut_lineage", "get_spark", "plain_unions", "shared_dir", "spread", "table", "written"]
+__all__ = ["by_key", "get_spark", "plain_unions", "release", "shared", "shared_dir", "spread", "stamp", "table", "written"]
 
 
 def get_spark(app: str = "tessera", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -43,17 +46,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores when the input has fewer splits than the cluster has cores.
+    """Rows of a scan dealt over all cores where its files give fewer splits than the cluster has cores.
 
-    A single small parquet file is one split, so the Python stages after it would run in one task.
-    Large inputs already have more splits than cores and are left alone (no shuffle).
+    A small parquet file is one split, so the Python stages after it would run in one task. The splits are told from the size
+    of the files that the plan reads, without running anything; what is shuffled is less than a split for each core. Larger
+    inputs are left alone. For plans with a shuffle in them use ``by_key``.
     """
-    plain_unions(df.sparkSession)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-_OWN_DIR: list[str] = []
+    spark = df.sparkSession
+    plain_unions(spark)
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return df.repartition(cores) if size < cores * split else df
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
@@ -67,27 +72,64 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+_OWN_DIR: list[str] = []
+_MADE: dict[str, DataFrame] = {}
+_AT_EXIT: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where it is unset, a temporary one serves a local session,
+    all of whose executors are on this machine; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return _OWN_DIR[0]
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` through ``checkpoint()`` in the shared folder, so that a lost executor doesn't lose it."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager)
+def _own_folder(spark: SparkSession) -> str:
+    """What this application writes in the shared folder; it is removed when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _AT_EXIT:
+        _AT_EXIT.add(app)
+        atexit.register(release, spark)
+    return f"{shared_dir(spark)}/tessera-{app}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that ``written`` and ``shared`` made for this application. Results that read it must be used up before."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session has ended already, and with it the way to the file system
+        pass
+    _MADE.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a new parquet table in the shared folder: computed once, columnar, and safe from lost executors."""
     plain_unions(df.sparkSession)
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    at = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """What tells one state of the files at ``path`` from another: their number, bytes and last change, as the file system has
+    them; nothing is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    sums = files.getContentSummary(at)
+    return f"{sums.getFileCount()} {sums.getLength()} {files.getFileStatus(at).getModificationTime()}"
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` of the table ``source``, written once for each state of it and read by every query that asks for ``name``."""
+    key = f"{spark.sparkContext.applicationId} {sf_dir} {name} {stamp(spark, f'{sf_dir}/{source}.parquet')}"
+    if key not in _MADE:
+        _MADE[key] = written(make(), name)
+    return _MADE[key]
