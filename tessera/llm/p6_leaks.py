@@ -3,13 +3,13 @@
 Every item answer is cut into windows of 13 words (what is sure to be a leak) and of 5 words (the runs of which half make a
 leak), at every word; items of less than 13 words are a window of their own length, too. Each window is embedded by CGK random
 walks, which turn edit distance into Hamming distance, and samples of each walk's positions are its hash keys. Windows of the
-documents are embedded by the same walks and looked up among the items' keys; equal windows always meet. How many walks and
-samples there are is chosen by simulation, so that a stated part (``recall``) of windows with the most edits allowed meets.
-What meets is verified on the words themselves: the longest common run, the share of the item's runs of five, and the edit
-distance of the closest windows.
+documents are embedded by the same walks and looked up among the items' keys; equal windows always meet, as they walk alike
+whichever bits are sampled. How many walks and samples there are is chosen by simulation, so that a stated part (``recall``) of
+windows with the most edits allowed meets. What meets is verified on the words themselves: whether windows of a full leak are
+equal, the longest common run, the share of the item's runs of five, and the edit distance of the closest windows.
 
-The items are a stated query set: they are fitted to the driver in blocks of bounded size, each block goes over all
-documents in one map stage, and no document is shuffled.
+The items are a stated query set: they are cut into blocks whose measured size is bounded, each block is broadcast and goes
+over all documents in one map stage, and no document is shuffled.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow
 from tessera.llm.p8_consistent import consistent
-from tessera.session import spread, table
+from tessera.session import spread, table, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Words of all items in a block. Each of the at most MOST_WALKS keys of a word takes 16 bytes, so this bounds them at 160 MB.
@@ -40,13 +41,15 @@ OUT = "doc_id long, item_id long, common_run int, shared_runs int, item_runs int
 class LeakConfig:
     """``run``: words that are a leak by themselves; ``short``: words in the runs of which ``share`` are one;
     ``max_edits``: of a near leak's windows of ``run`` words, in proportion fewer of shorter items' windows; ``recall``: the
-    part of windows with so many random edits that meets, found by itself, without the help of windows beside it."""
+    part of windows with so many random edits that meets, found by itself, without the help of windows beside it; ``samples``:
+    positions of a walk that are sampled for the keys of equal windows (those of near ones are planned)."""
 
     run: int = 13
     short: int = 5
     share: float = 0.5
     recall: float = 0.9
     max_edits: int = 3
+    samples: int = 8
     seed: int = 42
 
     def edits_of(self, size: int) -> int:
@@ -197,9 +200,9 @@ class Items:
     def __post_init__(self) -> None:
         c = self.config
         self.hashed, self.starts = hashed, starts = word_ids(self.words)
-        # equal windows of both sizes, then near ones: of ``run`` words, or as long as a shorter item
+        # one walk for equal windows of both sizes, then as many as near ones need: of ``run`` words, or as long as a shorter item
         sizes = sorted({min(len(w), c.run) for w in self.words if len(w) >= c.short})
-        plans = [(Walk(size, 1, 3 * size, c.seed), False) for size in (c.run, c.short)]
+        plans = [(Walk(size, 1, min(c.samples, size), c.seed), False) for size in (c.run, c.short)]
         for walk, near in [*plans, *((planned(size, c.edits_of(size), c.recall, c.seed), True) for size in sizes)]:
             first, text = _windows(starts, walk.size)
             if near and walk.size < c.run:
@@ -235,7 +238,14 @@ class Items:
         ends = np.cumsum(n)
         entry = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(low, n)
         window = np.repeat(window, n)
-        return text[window], self.owner[which][entry].astype(np.int64), first[window] - starts[text[window]], self.where[which][entry].astype(np.int64)
+        item, at, of = self.owner[which][entry].astype(np.int64), first[window], self.where[which][entry].astype(np.int64)
+        if which < 2:  # windows that met by their samples are equal in all their words, or no match
+            there = self.starts[item] + of
+            same = np.ones(len(at), bool)
+            for k in range(self.walks[which].size):
+                same &= hashed[at + k] == self.hashed[there + k]
+            window, item, at, of = window[same], item[same], at[same], of[same]
+        return text[window], item, at - starts[text[window]], of
 
     def leaks(self, words: list[list[str]], near: bool) -> Iterator[tuple[int, int, int, int, int, int]]:
         """Text number, item id and the verified figures of every leak; ``near``: also of windows with few edits."""
@@ -298,6 +308,25 @@ def _common_run(a: list[str], b: list[str]) -> int:
     return best
 
 
+def _blocks(sized: DataFrame, most: int, buckets: int = 4096) -> list[Column]:
+    """Conditions that part items (item_id, size) into blocks of at most ``most`` words, but for an item that has more by itself.
+
+    Items fall into buckets by hash, whose sums (at most ``buckets`` rows) come to the driver to be packed in their order; if
+    one holds too much, there are more buckets.
+    """
+    bucket = F.pmod(F.xxhash64("item_id"), F.lit(buckets))
+    sums = sized.groupBy(bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n")).orderBy("bucket").collect()
+    if any(r.words > most and r.n > 1 for r in sums):
+        return _blocks(sized, most, 16 * buckets)
+    out, held, low = [], 0, 0
+    for r in sums:
+        if held and held + r.words > most:
+            out.append((bucket >= low) & (bucket < r.bucket))
+            low, held = r.bucket, 0
+        held += r.words
+    return [*out, bucket >= low]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), near: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (doc_id, item_id, common_run, shared_runs, item_runs, edits): one for each document and item that leaked into it.
 
@@ -305,22 +334,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
     distinct runs of ``short`` consecutive words of it. With ``near``, windows of ``run`` words with at most ``max_edits``
     word edits count too, and those as long as a shorter answer with as many in proportion (1 of 5 to 8 words, 2 of 9 to 12);
     of windows with the most edits, the configuration's ``recall`` is found. Null ids take no part; null or empty texts and answers contain nothing; an answer of fewer than
-    ``short`` words can't leak. Repeated documents or items give one row. Texts are read whole. An item block holds about
-    half of ``block_words`` words; with more items there are more blocks, each over all documents.
+    ``short`` words can't leak. Repeated documents or items give one row. Texts are read whole. An item block holds at
+    most ``block_words`` words, measured before it is broadcast (or one item that is longer); with more items there are more
+    blocks, each over all documents.
     """
+    spark = docs.sparkSession
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("reference_answer").cast("string").alias("answer")).where("item_id is not null and answer is not null").distinct()
-    letters = wanted.agg(F.sum(F.length("answer"))).first()[0] or 0
-    blocks = max(1, math.ceil(letters / (2 * block_words)))  # by hash, so a block may be larger than the mean
-    sized = wanted.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    sized = written(wanted.withColumn("size", 1 + F.regexp_count("answer", F.lit(r"[\p{L}\p{N}]+"))), "p6-items")
+    blocks = _blocks(sized, block_words)
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).where("doc_id is not null and text is not null")
     out = None
-    for block in range(blocks):
-        mine = sized.where(F.col("block") == block).select("item_id", "answer").toArrow()
-        held = Items(config, mine.column(0).to_pylist(), word_lists(mine.column(1).combine_chunks()))
+    for block in blocks:
+        mine = sized.where(block).select("item_id", "answer").toArrow()
+        held = spark.sparkContext.broadcast(Items(config, mine.column(0).to_pylist(), word_lists(mine.column(1).combine_chunks())))
 
-        def work(batch: pa.RecordBatch, held: Items = held) -> pa.RecordBatch:
+        def work(batch: pa.RecordBatch, held: Broadcast[Items] = held) -> pa.RecordBatch:
             ids = batch.column(0).to_pylist()
-            got = [(ids[t], *rest) for t, *rest in held.leaks(word_lists(batch.column(1)), near)]
+            got = [(ids[t], *rest) for t, *rest in held.value.leaks(word_lists(batch.column(1)), near)]
             columns = list(zip(*got)) or [()] * 6
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 2 else pa.int32()) for k, x in enumerate(columns)], ["doc_id", "item_id", "common_run", "shared_runs", "item_runs", "edits"])
 

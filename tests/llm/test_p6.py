@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tessera.llm")
 from tessera.llm import p6_leaks as p6  # noqa: E402
@@ -66,6 +67,12 @@ def test_blocks_give_the_same(spark):
     assert one == many and one
 
 
+def test_blocks_are_measured(spark):
+    items = spark.createDataFrame([(k, 50) for k in range(64)] + [(99, 900)], "item_id long, size int")
+    parts = [items.where(b).agg(F.sum("size"), F.count("*")).first() for b in p6._blocks(items, 200, 8)]
+    assert all(words <= 200 or n == 1 for words, n in parts) and sum(n for _, n in parts) == 65 and len(parts) < 40
+
+
 def test_near_and_edges(spark):
     answer = "a quick look at the lower shelf shows that every third box is still empty today"
     docs = [(1, "so " + answer.replace("third", "fourth").replace("shelf", "rack"), 0, "", 0), (2, None, 0, "", 0), (3, "", 0, "", 0), (None, answer, 0, "", 0), (4, answer.replace("a quick", "ａ qu​ick").upper(), 0, "", 0), (4, answer, 0, "", 0), (5, "x " * 200_000 + answer, 0, "", 0)]
@@ -73,7 +80,7 @@ def test_near_and_edges(spark):
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     assert sorted((r.doc_id, r.item_id) for r in p6.find_leaks(d, i).collect()) == [(4, 7), (5, 7)]
     near = {(r.doc_id, r.item_id): r.edits for r in p6.find_leaks(d, i, near=True).collect()}
-    assert near == {(1, 7): 2, (4, 7): 0, (5, 7): 0} or near == {(1, 7): 1, (4, 7): 0, (5, 7): 0}
+    assert near == {(1, 7): 2, (4, 7): 0, (5, 7): 0}
     assert p6.find_leaks(d, spark.createDataFrame([], ITEMS)).count() == 0
     assert p6.find_leaks(spark.createDataFrame([], DOCS), i).count() == 0
 
@@ -87,18 +94,19 @@ def _edits(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("size", [5, 7, 8, 9, 12, 13])
-def test_recall_of_near_windows(size):
-    """Of isolated windows whose brute-force distance is the most allowed, the stated part is found."""
+@pytest.mark.parametrize(("size", "edits"), [(5, 1), (7, 1), (8, 1), (9, 2), (12, 2), (13, 1), (13, 2), (13, 3)])
+def test_recall_of_near_windows(size, edits):
+    """Of a thousand isolated windows with so many edits, at least the stated part is found by the walks alone."""
     config, rng = p6.LeakConfig(), np.random.default_rng(size)
-    words = [[f"w{k}" for k in rng.integers(0, 1 << 40, size)] for _ in range(400)]
+    words = [[f"w{k}" for k in rng.integers(0, 1 << 40, size)] for _ in range(1_000)]
     ids = {}
     plain = np.array([[ids.setdefault(w, len(ids) + 1) for w in row] for row in words], np.uint64)
     most = config.edits_of(size)
-    other = [[f"w{k}x" for k in row] for row in p6.edited(plain, most, rng).tolist()]
+    other = [[f"w{k}x" for k in row] for row in p6.edited(plain, edits, rng).tolist()]
     mine = [[f"w{k}x" for k in row] for row in plain.tolist()]
     held = p6.Items(config, list(range(len(mine))), mine)
     want = {(k, k) for k in range(len(mine)) if _edits(mine[k], other[k]) <= most}
     got = {(t, i): e for t, i, _, _, _, e in held.leaks(other, True)}
-    assert len(want) > 100 and len(want & set(got)) >= (config.recall - 0.03) * len(want)
+    # three standard errors of the measure below the stated recall at most
+    assert len(want) > 300 and len(want & set(got)) >= (config.recall - 3 * (config.recall * (1 - config.recall) / len(want)) ** 0.5) * len(want)
     assert all(e in (_edits(mine[i], other[t]), config.max_edits + 1) for (t, i), e in got.items())
