@@ -32,11 +32,13 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 @dataclass(frozen=True)
 class MixtureConfig:
-    """``total``: tokens of the mixture (None: as many as the targets allow); ``entropy``: wanted entropy of the weights in
+    """``total``: tokens of the mixture (None: as many as the targets allow); ``of_corpus``: the total as a part of all tokens
+    of the targets' sources instead; ``entropy``: wanted entropy of the weights in
     nats (None: as near to the targets as the repeats allow); ``block``: records in a block; ``most_targets``: rows of the
     target table at most, as they and their sources' sums are worked out on the driver."""
 
     total: int | None = None
+    of_corpus: float | None = None
     entropy: float | None = None
     block: int = 50_000
     most_targets: int = 100_000
@@ -138,8 +140,11 @@ def plan(sizes: DataFrame, targets: DataFrame, config: MixtureConfig) -> tuple[l
     if len(rows) > config.most_targets:
         raise ValueError(f"more than {config.most_targets} targets")
     sources = [Source(r.source, max(r.target, 0.0), max(r.most, 0), r.tokens or 0, r.records or 0) for r in rows]
-    weight, total, exponent = weights(sources, config.total, config.entropy)
-    return [Source(s.key, s.target, s.most, s.tokens, s.records, weight.get(s.key, 0.0) * total) for s in sources], total, exponent
+    asked = config.total if config.of_corpus is None else int(config.of_corpus * sum(s.tokens for s in sources))
+    weight, total, exponent = weights(sources, asked, config.entropy)
+    # a budget is never more than the repeats hold, whatever the rounding of the weights
+    budgets = [min(weight.get(s.key, 0.0) * total, float(s.most * s.tokens)) for s in sources]
+    return [Source(s.key, s.target, s.most, s.tokens, s.records, b) for s, b in zip(sources, budgets)], total, exponent
 
 
 def mixture(docs: DataFrame, targets: DataFrame, config: MixtureConfig = MixtureConfig()) -> DataFrame:
@@ -148,7 +153,7 @@ def mixture(docs: DataFrame, targets: DataFrame, config: MixtureConfig = Mixture
     Read in order of (block_order, place), once for each use, the sources come in random order of their blocks. A record is
     used at most its source's max_repeats times; each source's tokens are within half a record of its budget. Documents with a
     null id, source or text take no part, nor do sources without a target; repeated rows count once; a null target_share is 0
-    and a null max_repeats is 1; targets of one source add up. An empty table on either side gives an empty result.
+    and a null max_repeats is 1; targets of one source add up. Documents without a token are records of size 0. An empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
     sizes = written(count_tokens(docs, config), "p7-sizes")
@@ -180,7 +185,7 @@ def shares(docs: DataFrame, targets: DataFrame, config: MixtureConfig = MixtureC
     wanted = targets.select(source_key(F.col("source").cast("string")).alias("source"), "target_share").where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     share = F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share")
-    return wanted.join(by, "source", "left").join(F.broadcast(total)).select("source", "target_share", share, zero("tokens"), zero("records"), zero("most_uses"))
+    return wanted.join(by, "source", "left").crossJoin(F.broadcast(total)).select("source", "target_share", share, zero("tokens"), zero("records"), zero("most_uses"))
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,12 +196,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of a mixture as large as its sources together: repeats run out, so the exponent is bisected."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), MixtureConfig(of_corpus=1.0))
+
+
 def p7_whole_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of a mixture as large as the corpus (3.6 characters a token), for which the repeats need a higher exponent."""
-    docs = table(spark, sf_dir, "documents")
-    total = docs.agg(F.sum("n_chars")).first()[0] or 1
-    return shares(docs, table(spark, sf_dir, "mix_targets"), MixtureConfig(total=int(total / 3.6)))
+    """The shares of that mixture."""
+    return shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), MixtureConfig(of_corpus=1.0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_whole_corpus": p7_whole_corpus}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_mixture": p7_mixture, "p7_filled": p7_filled, "p7_shares": p7_shares, "p7_whole_corpus": p7_whole_corpus}
 SQL: dict[str, str] = {}

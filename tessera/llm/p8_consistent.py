@@ -7,13 +7,13 @@ arrays: lookup-table gathers for one-to-one changes, offsets by ``repeat`` for e
 one pass over all positions for each mark that a letter carries. There is no call for a single text.
 
 A word (a run of letters and marks) of look-alike letters only is written in Latin letters; one that also holds other
-letters of exactly one of the scripts Cyrillic or Greek, and none that only Latin has, is written in that script; any other
-in Latin. What decides is the same for all texts that look the same, so these become equal, and no letter is changed into
+letters of exactly one script but Latin is written in that script; any other in Latin. What decides is the same for all texts that look the same, so these become equal, and no letter is changed into
 one that looks different.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -27,11 +27,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_arrow
 from tessera.session import spread, table
 
-# Letters that look the same, Latin, Cyrillic, Greek ("-": there is none).
-LOOK_ALIKES = [
-    "aа-", "cс-", "eе-", "oоο", "pр-", "xх-", "yу-", "iі-", "jј-", "sѕ-", "hһ-", "dԁ-", "qԛ-", "wԝ-", "vѵν",
-    "AАΑ", "BВΒ", "CС-", "EЕΕ", "HНΗ", "IІΙ", "JЈ-", "KКΚ", "MМΜ", "N-Ν", "OОΟ", "PРΡ", "SЅ-", "TТΤ", "XХΧ", "YҮΥ", "Z-Ζ",
-]
+# Letters that look the same, from the public data on confusable characters: Latin (the first is what is written;
+# Roman numerals and letters of phonetics are Latin), Cyrillic, Greek, Armenian, Cherokee.
+LOOK_ALIKES = """
+a ɑ|а|||    c ⅽ|с|ϲ||   d ⅾ|ԁ|||    e|е|||      g ɡ|||ց|    h|һ||հ|     i ⅰ|і|||    j|ј|ϳ|յ|    l ⅼ|ӏ|||    m ⅿ||||     n|||ո|
+o|о|ο|օ|    p|р|ρ||     q|ԛ||զ|     s|ѕ|||      u|||ս|      v ⅴ|ѵ|ν||   w|ԝ|||      x ⅹ|х|||    y|у ү|||
+A|А|Α||Ꭺ    B|В|Β||Ᏼ    C Ⅽ|С|Ϲ||Ꮯ  D Ⅾ||||Ꭰ    E|Е|Ε||Ꭼ    G|Ԍ|||Ꮐ     H|Н|Η||Ꮋ    I Ⅰ|І Ӏ|Ι||  J|Ј|Ϳ||Ꭻ    K|К|Κ||Ꮶ    L Ⅼ|||Լ|Ꮮ
+M Ⅿ|М|Μ||Ꮇ  N||Ν||      O|О|Ο|Օ|    P|Р|Ρ||Ꮲ    Q|Ԛ|||      R||||Ꭱ     S|Ѕ||Տ|Ꮪ    T|Т|Τ||Ꭲ    U|||Ս|      V Ⅴ|Ѵ|||Ꮩ   W|Ԝ|||Ꮃ
+X Ⅹ|Х|Χ||   Y|Ү|Υ||     Z||Ζ||Ꮓ
+"""
 # Characters without a look of their own (ranges, inclusive), and spaces of one space's look.
 INVISIBLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F), (0xFEFF, 0xFEFF)]
 SPACES = [(0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
@@ -39,7 +43,9 @@ ZWJ = 0x200D
 #: A joiner between two of these makes one sign of them, so it is seen.
 PICTURES = [(0x1F000, 0x1FAFF), (0x2600, 0x27BF), (0x2190, 0x21FF), (0x2B00, 0x2BFF), (0xFE0F, 0xFE0F)]
 
-LATIN, CYRILLIC, GREEK = 1, 2, 4
+SCRIPTS = LATIN, CYRILLIC, GREEK, ARMENIAN, CHEROKEE = 1, 2, 4, 8, 16
+# Where the scripts' letters stand.
+BLOCKS = [(0x41, 0x250, LATIN), (0x250, 0x2B0, LATIN), (0x370, 0x400, GREEK), (0x400, 0x530, CYRILLIC), (0x530, 0x590, ARMENIAN), (0x13A0, 0x1400, CHEROKEE), (0x1E00, 0x1F00, LATIN), (0x1F00, 0x2000, GREEK), (0x2160, 0x2188, LATIN)]
 _N = 0x110000
 _GONE = np.uint32(0xFFFFFFFF)
 
@@ -80,25 +86,23 @@ class _Tables:
                     if len(first) == 2:
                         pairs[int(first[0], 16), int(first[1], 16)] = cp
         self.pool = np.array(pool, np.uint32)
-        for low, high in ((0x41, 0x250), (0x370, 0x530), (0x1E00, 0x2000)):
+        for low, high, script in BLOCKS:
             for cp in range(low, high):
-                ch = chr(cp)
-                if ch.isalpha():
-                    letter[cp] = True
-                    self.script[cp] = LATIN if cp < 0x250 or 0x1E00 <= cp < 0x1F00 else GREEK if cp < 0x400 or cp >= 0x1F00 else CYRILLIC
+                if chr(cp).isalpha() or unicodedata.category(chr(cp)) == "Nl":
+                    letter[cp], self.script[cp] = True, script
         self.word = letter | (self.ccc > 0)
         keys = np.array([(a << 21) | b for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_values = keys[order], np.array(list(pairs.values()), np.uint32)[order]
         self.alike = np.zeros(_N, bool)
-        self.to = {s: points.copy() for s in (LATIN, CYRILLIC, GREEK)}
-        for row in LOOK_ALIKES:
-            there = {s: ord(c) for s, c in zip((LATIN, CYRILLIC, GREEK), row) if c != "-"}
-            for cp in there.values():
+        self.to = {s: points.copy() for s in SCRIPTS}
+        for row in re.split(r"\s{2,}|\n", LOOK_ALIKES.strip()):
+            there = {s: cell.split() for s, cell in zip(SCRIPTS, row.split("|"))}
+            for cp in (ord(c) for cell in there.values() for c in cell):
                 self.alike[cp] = True
-                for s, twin in there.items():
-                    self.to[s][cp] = twin
-                self.to[LATIN][cp] = there.get(LATIN, cp)
+                for s, cell in there.items():
+                    if cell:
+                        self.to[s][cp] = ord(cell[0])
         self.own = np.where(self.alike, 0, self.script).astype(np.uint8)  # scripts of letters without a twin
 
 
@@ -166,6 +170,26 @@ def _compose(points: np.ndarray, starts: np.ndarray, t: _Tables) -> tuple[np.nda
     return _keep(points, starts, ~gone)
 
 
+def _compose_hangul(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins the letters of Hangul syllables by arithmetic: a lead and a vowel, then what they make and a tail."""
+    if not ((points >= 0x1100) & (points <= 0x11C2)).any():
+        return points, starts
+    for first, last, low, high, step in ((0x1100, 0x1112, 0x1161, 0x1175, 28), (0xAC00, 0xD7A3, 0x11A8, 0x11C2, 1)):
+        left, right = points[:-1], points[1:]
+        joins = (left >= first) & (left <= last) & (right >= low) & (right <= high)
+        if step == 1:
+            joins &= (left - 0xAC00) % 28 == 0  # no tail yet
+        joins &= ~np.isin(np.arange(1, len(points)), starts)
+        at = np.flatnonzero(joins)
+        points = points.copy()
+        made = (points[at] - 0x1100) * 588 + (points[at + 1] - low) * 28 + 0xAC00 if step == 28 else points[at] + points[at + 1] - 0x11A7
+        points[at] = made
+        keep = np.ones(len(points), bool)
+        keep[at + 1] = False
+        points, starts = _keep(points, starts, keep)
+    return points, starts
+
+
 def consistent(texts: pa.Array) -> pa.Array:
     """The consistent form of each text; null stays null, an empty text stays empty."""
     t = _tables()
@@ -194,8 +218,8 @@ def consistent(texts: pa.Array) -> pa.Array:
         points, starts = spread_points, np.concatenate(([0], ends))[starts]
     # look-alikes, by word
     alike = t.alike[points]
-    foreign = alike & (t.script[points] != LATIN)
-    if foreign.any() or (t.own[points] & (CYRILLIC | GREEK)).any():
+    foreign = alike & (points != t.to[LATIN][points])
+    if foreign.any():
         word = t.word[points]
         first = word.copy()
         first[1:] &= ~word[:-1]
@@ -204,14 +228,15 @@ def consistent(texts: pa.Array) -> pa.Array:
         number = np.cumsum(first)  # of the word; what stands between words is looked at nowhere
         own = t.own[points]
         scripts = np.zeros(number[-1] + 1, np.uint8) if len(number) else np.zeros(1, np.uint8)
-        for s in (LATIN, CYRILLIC, GREEK):
+        for s in SCRIPTS:
             scripts[number[word & (own == s)]] |= s
-        of = scripts[number]
-        for s in (LATIN, CYRILLIC, GREEK):
-            here = alike & word & ((of == s) if s != LATIN else ((of != CYRILLIC) & (of != GREEK)))
-            points = points.copy()
+        of = np.where(np.isin(scripts, SCRIPTS), scripts, LATIN)[number]  # letters of several scripts: Latin
+        points = points.copy()
+        for s in SCRIPTS:
+            here = alike & word & (of == s)
             points[here] = t.to[s][points[here]]
     points, starts = _compose(points, starts, t)
+    points, starts = _compose_hangul(points, starts)
     return _strings(points, starts, valid)
 
 
@@ -274,20 +299,19 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_found": p8_found, "p8_forms": p8_forms}
 
 
-def _ranges(ranges: list[tuple[int, int]]) -> str:
-    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+# The SQL has its own values, so that it shares none with the operator: a text with the same equalities as the consistent form,
+# with all look-alikes as Latin letters and accents composed.
+_FROM = "асеорхуіјѕһԁԛԝѵӏүАВСЕНІЈКМОРЅТХҮӀԌԚԜѴονρϲϳΑΒΕΗΙΚΜΝΟΡΤΧΥΖϹօոսհզցյՕՍՏԼɡɑёїѐЁЇЀό"
+_TO = "aceopxyijshdqwvlyABCEHIJKMOPSTXYIGQWVovpcjABEHIKMNOPTXYZConuhqgjOUSLgaëïèËÏÈó"
+_WIDE = "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
+_NARROW = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 def form_sql(column: str) -> str:
-    """A text with the same equalities as the consistent form: all look-alikes as Latin letters, accents composed."""
-    pairs = {c: row[0] for row in LOOK_ALIKES for c in row[1:] if c != "-"}
-    accented = {unicodedata.normalize("NFC", c + m): unicodedata.normalize("NFC", latin + m) for c, latin in pairs.items() for m in map(chr, range(0x300, 0x330))}
-    pairs |= {a: b for a, b in accented.items() if len(a) == 1 and len(b) == 1}
-    pairs |= {chr(a + 0xFEE0): chr(a) for low, high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)) for a in range(low, high + 1)}
-    picture = _ranges(PICTURES)
-    kept = f"regexp_replace({column}, '([{picture}])\\x{{200D}}([{picture}])', '\\1\\x{{E000}}\\2', 'g')".replace("\\x{E000}", "\ue000")
-    bare = f"regexp_replace(regexp_replace({kept}, '[{_ranges(INVISIBLE)}]', '', 'g'), '[{_ranges(SPACES)}]', ' ', 'g')"
-    return f"nfc_normalize(translate({bare}, '{''.join(pairs)}', '{''.join(pairs.values())}'))"
+    kept = f"regexp_replace({column}, '([\U0001f000-\U0001faff\u2190-\u21ff\u2600-\u27bf\u2b00-\u2bff\ufe0f])\u200d([\U0001f000-\U0001faff\u2190-\u21ff\u2600-\u27bf\u2b00-\u2bff\ufe0f])', '\\1\ue000\\2', 'g')"
+    bare = f"regexp_replace({kept}, '[\\x{{AD}}\\x{{34F}}\\x{{61C}}\\x{{180B}}-\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{2066}}-\\x{{206F}}\\x{{FEFF}}]', '', 'g')"
+    spaced = f"regexp_replace({bare}, '[\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
+    return f"nfc_normalize(translate({spaced}, '{_FROM}{_WIDE}', '{_TO}{_NARROW}'))"
 
 
 SQL: dict[str, str] = {

@@ -45,6 +45,22 @@ def test_shares_and_repeats(spark):
     assert report["nowhere"].actual_share == 0 and sum(r.actual_share for r in report.values()) == pytest.approx(1, abs=1e-5)
 
 
+def test_filled_mixture_bisects(spark):
+    """A mixture as large as the corpus: the exponent isn't 0, no budget is more than the repeats hold, and records without a
+    token do no harm."""
+    docs = spark.createDataFrame([*_docs(), *((3000 + k, "", "issue", 1, 2) for k in range(50))], DOCS)
+    targets = spark.createDataFrame([("readme", 0.1, 1), ("issue", 0.9, 3)], TARGETS)
+    config = p7.MixtureConfig(of_corpus=1.0, block=16)
+    sizes = p7.count_tokens(docs, config)
+    sources, total, exponent = p7.plan(sizes, targets, config)
+    held = {r.source: r.tokens for r in sizes.groupBy("source").agg({"tokens": "sum"}).toDF("source", "tokens").collect()}
+    assert 0 < exponent <= 1 and total == held["readme"] + held["issue"] and all(s.budget <= s.most * s.tokens for s in sources)
+    rows = p7.mixture(docs, targets, config).collect()
+    assert all(r.uses <= (3 if r.source == "issue" else 1) for r in rows)
+    used = {s: sum(r.tokens * r.uses for r in rows if r.source == s) for s in held}
+    assert all(abs(used[s.key] - s.budget) <= max(r.tokens for r in rows if r.source == s.key) for s in sources)
+
+
 def test_same_for_any_partitioning(spark):
     docs, targets = spark.createDataFrame(_docs(), DOCS), spark.createDataFrame([("readme", 0.5, 1), ("issue", 0.5, 2)], TARGETS)
     a = {tuple(r) for r in p7.mixture(docs.repartition(1), targets).collect()}

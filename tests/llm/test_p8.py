@@ -37,6 +37,7 @@ def test_cases():
         assert len(set(form(a, b))) == 1, (a, b)
     for a, b in DIFFERENT:
         assert len(set(form(a, b))) == 2, (a, b)
+    assert len(p8._FROM) == len(p8._TO) and len(p8._WIDE) == len(p8._NARROW) == 62
     assert form("раз", "привет", "cop") == ["раз", "привет", "cop"]
 
 
