@@ -98,7 +98,7 @@ _WRAPPED = re.compile(r"\s*+(?:[\w:.<>&]+!?\s*+\(\s*|\(\s*|\[\s*|\w+\s+|String::
 _NEXT_ASSIGN = re.compile(r",\s*[\w$.]+\s*[=:]")
 
 KINDS = ("assign", "pair", "bare", "url", "param", "header", "sql", "call", "option", "encoded", "block", "issued")
-FEATURES = ("bias", "likelihood", "length", "digits", "capitals", "symbols", "entropy", "words", "strong", "weak", "other", "placeholder", "lookup", "issued", "digest", "uuid", "place", "blank", "named", "test_path", "plural_case", *KINDS)
+FEATURES = ("bias", "likelihood", "length", "digits", "capitals", "symbols", "entropy", "words", "strong", "weak", "other", "lookup", "prefixed", "place", "blank", "named", "test_path", "plural_case", *KINDS)
 _N_CHARS = 96
 CANDIDATE = "row_kind string, row_key string, line_no long, kind string, name string, value string, context string, path string, weak int"
 
@@ -418,7 +418,8 @@ def _codes(value: str) -> np.ndarray:
 
 
 def features(c: Found | tuple, path: str | None, ratio: float) -> list[float]:
-    """The candidate as a row of FEATURES; ``ratio``: log-likelihood ratio a character of the two Markov models."""
+    """The candidate as a row of FEATURES: what the value is like, the name and the code around it, and the path. The patterns by
+    which values are labelled (placeholders, digests, ids, whole tokens of issuers) aren't among them. ``ratio``: log-likelihood ratio a character of the two Markov models."""
     v, name = c.value, snake(c.name)
     n = max(1, len(v))
     counts = np.bincount(_codes(v), minlength=_N_CHARS) if v else np.zeros(_N_CHARS)
@@ -428,8 +429,8 @@ def features(c: Found | tuple, path: str | None, ratio: float) -> list[float]:
     row = [
         1.0, ratio, math.log(n), sum(map(str.isdigit, v)) / n, sum(map(str.isupper, v)) / n, len(re.findall(r"[^\w\s]", v)) / n,
         float(-(p * np.log2(p)).sum()) if len(p) else 0.0, words, float(bool(STRONG_NAME.search(bare)) or c.kind in ("url", "sql", "call", "param", "block")), float(bool(WEAK_NAME.search(name))),
-        float(bool(OTHER_NAME.search(name))), float(bool(PLACEHOLDER.search(v)) or len(set(v)) < 4), float(c.context in ("lookup", "call")), float(bool(ISSUED.search(v) or PREFIXED.match(v))),
-        float(bool(DIGEST.search(v))), float(bool(UUID.match(v))), float(bool(PLACE.match(v))), float(" " in v),
+        float(bool(OTHER_NAME.search(name))), float(c.context in ("lookup", "call")), float(bool(PREFIXED.match(v))),
+         float(bool(PLACE.match(v))), float(" " in v),
         float(bool(STRONG_NAME.search(snake(v))) and not re.search(r"\d", v)), float(bool(re.search(r"(?:^|/)(?:tests?|spec|fixtures?|examples?|mocks?)/|_test\.|\.test\.|\.spec\.", path or ""))),
         float(bool(re.search(r"[a-z]", v) and re.search(r"[A-Z]", v) and re.search(r"\d", v))),
     ]
@@ -463,7 +464,7 @@ class CredentialConfig:
 
     sample: int = 10_000
     threshold: float = 0.5
-    ridge: float = 1e-3
+    ridge: float = 1e-5
 
 
 def texts_of(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -524,7 +525,7 @@ def fit(found: DataFrame, config: CredentialConfig = CredentialConfig()) -> Cred
             turn.append(k % 4 == 3)
     if len(set(y)) < 2:  # nothing to tell apart: only what has a known issuer's form scores high
         weights = np.zeros(len(FEATURES))
-        weights[[FEATURES.index("bias"), FEATURES.index("issued"), FEATURES.index("block")]] = -4, 8, 8
+        weights[[FEATURES.index(f) for f in ("bias", "prefixed", "issued", "block")]] = -4, 8, 8, 8
         return CredentialModel(logs, weights, (1.0, 0.0))
     xs, ys, held = np.array(x), np.array(y, float), np.array(turn)
     weights = _regress(xs[~held], ys[~held], config.ridge)
