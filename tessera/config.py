@@ -1,9 +1,12 @@
-"""Settings and where they come from: arguments, then the environment, then the session, then the defaults."""
+"""Settings and where they come from: arguments, then the environment, then ``.env``, then the session, then the project's
+``tessera.toml``, then the user's, then the defaults."""
 
 from __future__ import annotations
 
 import os
+import tomllib
 from dataclasses import dataclass, fields
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -28,15 +31,43 @@ class Settings:
     ci: bool = False
 
 
-def resolve(spark: SparkSession | None = None, **given: object) -> Settings:
-    """Each setting from ``given``, else TESSERA_<NAME>, else spark's tessera.<name>, else its default."""
+def _env_file(path: Path) -> dict[str, str]:
+    if not path.is_file():
+        return {}
+    pairs = (line.split("=", 1) for line in path.read_text().splitlines() if "=" in line and not line.lstrip().startswith("#"))
+    return {k.strip().removeprefix("export ").strip(): v.strip().strip("\"'") for k, v in pairs}
+
+
+def _toml(path: Path) -> dict[str, object]:
+    """The settings of a file: its table ``tessera``, or all of it."""
+    if not path.is_file():
+        return {}
+    held = tomllib.loads(path.read_text())
+    return held.get(PREFIX, held)
+
+
+def _typed(raw: object, default: object) -> object:
+    if isinstance(default, bool):
+        return raw if isinstance(raw, bool) else str(raw).lower() in ("1", "true", "yes")
+    if isinstance(default, int):
+        return int(raw)
+    return tuple(raw) if isinstance(raw, list | tuple) else tuple(x.strip() for x in str(raw).split(",") if x.strip())
+
+
+def resolve(spark: SparkSession | None = None, project: str | Path = ".", user: str | Path | None = None, **given: object) -> Settings:
+    """Each setting from the first place that has it; ``project`` and ``user`` are the folders of the files."""
+    here, home = Path(project), Path(user) if user else Path.home() / ".config" / PREFIX
+    env = _env_file(here / ".env") | {k: v for k, v in os.environ.items() if v}
+    files = _toml(home / f"{PREFIX}.toml") | _toml(here / f"{PREFIX}.toml")
     out: dict[str, object] = {}
     for f in fields(Settings):
-        if given.get(f.name) is not None:
-            out[f.name] = given[f.name]
-            continue
-        raw = os.environ.get(f"{PREFIX}_{f.name}".upper()) or (spark.conf.get(f"{PREFIX}.{f.name}", None) if spark else None)
+        raw = given.get(f.name)
+        if raw is None:
+            raw = env.get(f"{PREFIX}_{f.name}".upper())
+        if raw is None and spark:
+            raw = spark.conf.get(f"{PREFIX}.{f.name}", None)
+        if raw is None:
+            raw = files.get(f.name)
         if raw is not None:
-            default = f.default
-            out[f.name] = raw.lower() in ("1", "true", "yes") if isinstance(default, bool) else int(raw) if isinstance(default, int) else tuple(x.strip() for x in raw.split(",") if x.strip())
+            out[f.name] = _typed(raw, f.default)
     return Settings(**out)

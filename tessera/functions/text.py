@@ -24,7 +24,7 @@ SUFFIX_LANGUAGE = {
     "ts": "typescript", "tsx": "typescript", "rs": "rust", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp",
     "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "java": "java",
 }
-#: Namespace of the name-based ids of chunks.
+#: Fixed value: namespace of the name-based ids of chunks.
 CHUNK_NAMESPACE = "5f3c9a1e2b6d4e8a9c477a1d0b2f6e30"
 
 
@@ -83,6 +83,31 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(names, F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)))
 
 
+def base_name(place: Column) -> Column:
+    """The last part of a repository's path or address, without blanks, slashes and ``.git`` at its end."""
+    return F.regexp_extract(F.regexp_replace(F.regexp_replace(strip(place), r"[/\\\\]+$", ""), r"\.git$", ""), r"([^/\\\\:]*)$", 1)
+
+
+def segments(text: Column) -> Column:
+    """Array of (kind, text) of an answer in order: prose as it stands, and for each citation its ``file:start-end``."""
+    spans = F.transform(_all(text, CITATION, 0), lambda c: F.struct(F.lit("citation").alias("kind"), _span_of(c).alias("text")))
+    prose = F.transform(F.split(text, CITATION), lambda x: F.struct(F.lit("prose").alias("kind"), x.alias("text")))
+    both = F.flatten(F.transform(F.arrays_zip(prose.alias("p"), spans.alias("c")), lambda x: F.array(x["p"], x["c"])))
+    return F.filter(both, lambda s: s.isNotNull() & (s["text"] != ""))
+
+
+def _span_of(citation: Column) -> Column:
+    part = lambda n: F.regexp_extract(citation, CITATION, n)
+    return F.concat(part(1), F.lit(":"), part(2), F.lit("-"), F.coalesce(F.nullif(part(3), F.lit("")), part(2)))
+
+
+def softmax(logits: Column) -> Column:
+    """An array of scores as parts of 1, safe for large ones; null for null or empty."""
+    raised = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
+    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(logits) > 0, F.transform(raised, lambda x: x / total))
+
+
 def chunk_id(file_path: Column, symbol: Column, part: Column, body: Column) -> Column:
     """Name-based (version 5) id of a chunk's place and content."""
     key = F.concat_ws("|", file_path, symbol, part.cast("string"), F.sha2(body, 256))

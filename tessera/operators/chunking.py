@@ -7,6 +7,7 @@ makes for all its lines at once; texts are independent and spread over all tasks
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,12 @@ class ChunkConfig:
             raise ValueError("overlap must be positive and less than max_tokens")
 
 
-def windows(text: str, config: ChunkConfig) -> list[tuple[int, int, int]]:
+def count_tokens(text: str) -> int:
+    """The default measure of a text: words, numbers and single signs."""
+    return len(_TOKEN.findall(text))
+
+
+def windows(text: str, config: ChunkConfig, measure: Callable[[str], int] = count_tokens) -> list[tuple[int, int, int]]:
     """(first line, end line, tokens) of the windows of ``text``; lines count from 0 and the end isn't part of the window.
 
     A window takes lines while its tokens fit, at least one, and ends at the last place where no bracket is open, if there is
@@ -40,7 +46,7 @@ def windows(text: str, config: ChunkConfig) -> list[tuple[int, int, int]]:
     """
     lines = text.split("\n")
     n = len(lines)
-    count = np.array([len(_TOKEN.findall(x)) for x in lines])
+    count = np.array([measure(x) for x in lines])
     before = np.concatenate(([0], np.cumsum(count)))
     open_at, depth = np.zeros(n + 1, bool), 0
     open_at[0] = True
@@ -70,12 +76,13 @@ def windows(text: str, config: ChunkConfig) -> list[tuple[int, int, int]]:
     return out
 
 
-def split_symbols(parsed: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+def split_symbols(parsed: DataFrame, config: ChunkConfig = ChunkConfig(), measure: Callable[[str], int] = count_tokens) -> DataFrame:
     """Chunks of (parsed_id, file_path, symbol_name, body, start_line): with body, start_line, end_line, token_count, part,
     part_total and chunk_id.
 
     A body within ``max_tokens`` is one chunk, or none below ``min_tokens``; a longer one is split, and windows below
-    ``min_tokens`` are dropped before parts are numbered. A null body is empty. Whole texts are read.
+    ``min_tokens`` are dropped before parts are numbered. A null body is empty. Whole texts are read. ``measure`` counts the
+    tokens of a text, such as those of a model's own tokenizer.
     """
 
     def work(batches):  # noqa: ANN001, ANN202
@@ -83,11 +90,11 @@ def split_symbols(parsed: DataFrame, config: ChunkConfig = ChunkConfig()) -> Dat
             rows: list[tuple] = []
             for i, body, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 body = body or ""
-                total = len(_TOKEN.findall(body))
+                total = measure(body)
                 if total <= config.max_tokens:
                     kept = [(0, body.count("\n") + 1, total)] if total >= config.min_tokens else []
                 else:
-                    kept = [w for w in windows(body, config) if w[2] >= config.min_tokens]
+                    kept = [w for w in windows(body, config, measure) if w[2] >= config.min_tokens]
                 lines = body.split("\n") if len(kept) > 1 or total > config.max_tokens else [body]
                 for part, (a, b, tokens) in enumerate(kept):
                     text = "\n".join(lines[a:b]) if total > config.max_tokens else body

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import occurrences, strip
@@ -29,11 +31,15 @@ def preview(path, symbol, signature, body, most: int = 2000):  # noqa: ANN001, A
     return F.substring(F.concat(head, F.lit("\n"), F.coalesce(body, F.lit(""))), 1, most)
 
 
-def rerank(candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of candidates (query_id, id, rank, query, text) by how often the query's words stand in
-    the text in lower case; the earlier rank is first among equals."""
-    words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")
-    scored = candidates.withColumn("score", occurrences(F.lower("text"), words))
+def word_hits(query: Column, text: Column) -> Column:
+    """The stand-in of a cross-encoder: how often the query's words stand in the text, in lower case."""
+    return occurrences(F.lower(text), F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != ""))
+
+
+def rerank(candidates: DataFrame, k: int, score: Callable[[Column, Column], Column] = word_hits) -> DataFrame:
+    """(query_id, id, score, rank) of candidates (query_id, id, rank, query, text) by ``score`` of query and text, such as a
+    model's pandas UDF; the earlier rank is first among equals."""
+    scored = candidates.withColumn("score", score(F.col("query"), F.col("text")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
     return scored.withColumn("new_rank", F.row_number().over(order).cast("long")).where(F.col("new_rank") <= k).select("query_id", "id", "score", F.col("new_rank").alias("rank"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import citations, jaccard, sentences, verdict, word_set
+from tessera.functions.text import citations, jaccard, sentences, softmax, verdict, word_set
 
 NLI_WORD = r"[A-Za-z_]+"
 
@@ -17,6 +19,15 @@ def overlap(premise: Column, hypothesis: Column) -> Column:
     return F.when(F.size(h) == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(words(premise), h)) / F.size(h), 4))
 
 
+#: A model of entailment: premise and hypothesis to a column; of contradiction, entailment and neutral only the second is used here.
+Entails = Callable[[Column, Column], Column]
+
+
+def from_logits(model: Callable[[Column, Column], Column]) -> Entails:
+    """A model that gives three logits (contradiction, entailment, neutral) as one that gives the part of entailment."""
+    return lambda premise, hypothesis: softmax(model(premise, hypothesis))[1]
+
+
 def cited(answers: DataFrame) -> DataFrame:
     """(answer_id, pos, file, start, end) of the different citations of (answer_id, text), in order from 0."""
     return answers.select("answer_id", F.posexplode(citations("text"))).select("answer_id", F.col("pos").cast("long").alias("pos"), "col.file", "col.start", "col.end")
@@ -64,17 +75,18 @@ def cited_chunks(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     return held.select("answer_id", "chunk_id").distinct()
 
 
-def ground(answers: DataFrame, premises: DataFrame) -> DataFrame:
-    """(answer_id, score, verdict): the mean over an answer's sentences of the best overlap with a premise (answer_id,
+def premises_of(cited_rows: DataFrame, context: DataFrame) -> DataFrame:
+    """What supports an answer: of its context (answer_id, chunk_id, premise) the cited chunks (answer_id, chunk_id), or all
+    of it if none of that is cited."""
+    held = context.join(cited_rows, ["answer_id", "chunk_id"], "left_semi")
+    return held.unionByName(context.join(held.select("answer_id").distinct(), "answer_id", "left_anti"))
+
+
+def ground(answers: DataFrame, premises: DataFrame, entails: Entails = overlap) -> DataFrame:
+    """(answer_id, score, verdict): the mean over an answer's sentences of the best entailment by a premise (answer_id,
     premise); 0 without sentences or premises. Sentences meet the premises of their own answer only."""
     parts = answers.select("answer_id", F.posexplode(sentences("text"))).withColumnRenamed("col", "sentence")
-    best = parts.join(premises, "answer_id", "left").groupBy("answer_id", "pos").agg(F.max(F.coalesce(overlap(F.col("premise"), F.col("sentence")), F.lit(0.0))).alias("best"))
+    best = parts.join(premises, "answer_id", "left").groupBy("answer_id", "pos").agg(F.max(F.coalesce(entails(F.col("premise"), F.col("sentence")), F.lit(0.0))).alias("best"))
     score = best.groupBy("answer_id").agg(F.round(F.avg("best"), 4).alias("score"))
     out = answers.select("answer_id").join(score, "answer_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return out.withColumn("verdict", verdict(F.col("score")))
-
-
-def first_by(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

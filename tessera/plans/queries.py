@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import bm25, chunking, drift, fusion, graph, grounding, parsing, store, vectors
+from tessera.operators import bm25, chunking, drift, fusion, graph, grounding, parsing, prompts, store, vectors
 from tessera.session import by_key, shared, spread, table, written
 from tessera.sources import files as src
 from tessera.streaming import progress
@@ -333,17 +333,12 @@ def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
     return fusion.evaluate(ranked, want)
 
 
-def prompt_text(c: DataFrame) -> DataFrame:
-    head = F.format_string("[%s:%d-%d]  %s (%s, %s)", "file_path", "start_line", "end_line", F.coalesce("symbol_name", F.lit("<module>")), F.coalesce("kind", F.lit("")), T.language_of(F.col("file_path")))
-    return c.select(F.col("chunk_id").alias("id"), F.concat(head, F.lit("\n"), "body").alias("part"))
-
-
 @query(f"""with {RERANKED} select query_id, md5(string_agg(printf('[%s:%d-%d]  %s (%s, %s)', file_path, start_line, end_line, coalesce(symbol_name, '<module>'), coalesce(kind, ''), {_language_sql('file_path')}) || chr(10) || body, chr(10) || chr(10) order by rank)) prompt, count(*) parts
 from reranked join chunks on chunk_id = id group by query_id""")
 def prompt_render(spark: SparkSession, d: str) -> DataFrame:
-    rows = _reranked(spark, d).join(prompt_text(chunks(spark, d)), "id")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"])
-    return rows.groupBy("query_id").agg(F.md5(F.array_join(parts, "\n\n").cast("binary")).alias("prompt"), F.count("*").alias("parts"))
+    rows = _reranked(spark, d).join(prompts.chunk_text(chunks(spark, d)), "id")
+    n = rows.groupBy("query_id").agg(F.count("*").alias("parts"))
+    return prompts.joined_parts(rows, "query_id").join(n, "query_id").select("query_id", F.md5(F.col("context").cast("binary")).alias("prompt"), "parts")
 
 
 # --- graph ----------------------------------------------------------------------------------------------------------

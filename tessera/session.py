@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["by_key", "get_spark", "plain_unions", "release", "shared", "shared_dir", "spread", "stamp", "table", "written"]
+__all__ = ["by_key", "get_spark", "own_folder", "path_exists", "plain_unions", "remove_path", "release", "shared", "shared_dir", "spread", "stamp", "table", "written"]
 
 
 def get_spark(app: str = "tessera", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -91,7 +91,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
     """What this application writes in the shared folder; it is removed when the application ends."""
     app = spark.sparkContext.applicationId
     if app not in _AT_EXIT:
@@ -100,11 +100,26 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tessera-{app}"
 
 
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Removes a folder of the engine's own; whether it was there."""
+    files, at = _file_system(spark, path)
+    return files.delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Removes all that ``written`` and ``shared`` made for this application. Results that read it must be used up before."""
     try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove_path(spark, f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
     except Exception:  # noqa: BLE001 - the session has ended already, and with it the way to the file system
         pass
     _MADE.clear()
@@ -113,7 +128,7 @@ def release(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a new parquet table in the shared folder: computed once, columnar, and safe from lost executors."""
     plain_unions(df.sparkSession)
-    at = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    at = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
@@ -121,8 +136,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def stamp(spark: SparkSession, path: str) -> str:
     """What tells one state of the files at ``path`` from another: their number, bytes and last change, as the file system has
     them; nothing is read."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, at = _file_system(spark, path)
     sums = files.getContentSummary(at)
     return f"{sums.getFileCount()} {sums.getLength()} {files.getFileStatus(at).getModificationTime()}"
 

@@ -93,6 +93,12 @@ def eligible(files: DataFrame, languages: tuple[str, ...] = DEFAULT_LANGUAGES, i
     return kept.where((F.octet_length("content") <= MAX_FILE_BYTES) & ~F.contains("content", F.lit("\0")))
 
 
+def documents(files: DataFrame, ignore: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(doc_file, text) of documentation among files (path, content): by suffix in any case, and not ignored; of any size."""
+    suffix = F.lower(F.regexp_extract("path", r"[^/](\.[^./]+)$", 1))
+    return files.where(suffix.isin(*DOC_SUFFIXES) & ~is_ignored(F.col("path"), ignore)).select(F.col("path").alias("doc_file"), F.col("content").alias("text"))
+
+
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """(repo_id, path, change) between two snapshots (repo_id, path, content_hash): ``added``, ``removed`` or ``modified``."""
     a = old.select("repo_id", "path", F.col("content_hash").alias("old_hash"), F.lit(1).alias("was"))

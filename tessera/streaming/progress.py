@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import STREAM_TOKEN
-from tessera.session import shared_dir
+from tessera.session import own_folder, path_exists
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -23,25 +23,22 @@ def current_state(events: DataFrame) -> DataFrame:
 
 
 def stream_state(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame:
-    """The same state by Structured Streaming over the files at ``path``: each micro-batch is folded into a state table in
-    the shared folder, and what is there when the source is used up is the result."""
-    at = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
+    """The same state by Structured Streaming over the files at ``path``: a stateful aggregation by user, whose changed rows each
+    micro-batch appends to a table; the last row of each user is the state when the source is used up."""
+    at = f"{own_folder(spark)}/progress-{uuid.uuid4().hex}"
     # as a pattern, the path may be a file or a folder of files
     source = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    epochs: list[int] = []
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        new = batch.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"), F.count("*").alias("events"))
-        if epoch:
-            new = new.unionByName(spark.read.parquet(f"{at}/{epoch - 1}")).groupBy("user_id").agg(F.max("last").alias("last"), F.sum("events").alias("events"))
-        new.write.mode("overwrite").parquet(f"{at}/{epoch}")
-        epochs.append(epoch)
-
-    query = source.writeStream.foreachBatch(fold).option("checkpointLocation", f"{at}/_offsets").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if not epochs:
-        return spark.createDataFrame([], "user_id long, event_type string, ts timestamp_ntz, events long")
-    return spark.read.parquet(f"{at}/{epochs[-1]}").select("user_id", "last.event_type", "last.ts", "events")
+    state = source.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"), F.count("*").alias("events"))
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{at}/state/batch={epoch}")
+
+    changes = state.writeStream.outputMode("update").foreachBatch(append)
+    changes.option("checkpointLocation", f"{at}/_offsets").trigger(availableNow=True).start().awaitTermination()
+    types = state.withColumn("epoch", F.lit(0)).schema
+    rows = spark.read.schema(types).option("recursiveFileLookup", "true").parquet(at + "/state") if path_exists(spark, at + "/state") else spark.createDataFrame([], types)
+    now = rows.groupBy("user_id").agg(F.max_by(F.struct("last", "events"), "epoch").alias("now"))
+    return now.select("user_id", "now.last.event_type", "now.last.ts", "now.events")
 
 
 def answer_events(answers: DataFrame) -> DataFrame:
