@@ -33,8 +33,21 @@ def call_sites(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").alias("src"), "repo_id", F.explode(names).alias("name"))
 
 
+def call_links(chunks: DataFrame) -> DataFrame:
+    """(src, repo_id, name, definitions): the calls of each chunk by name, with the number of callable chunks of its repository
+    that they may mean, but itself. One row a call: definitions are counted before they are joined."""
+    callable_ = chunks.where(F.col("kind").isin(*CALLABLE)).select("repo_id", F.col("symbol_name").alias("name"), F.col("chunk_id").alias("src"))
+    known = callable_.groupBy("repo_id", "name").agg(F.count("*").alias("n"))
+    found = call_sites(chunks).join(known, ["repo_id", "name"]).join(callable_.withColumn("own", F.lit(1)), ["repo_id", "name", "src"], "left")
+    return found.select("src", "repo_id", "name", (F.col("n") - F.coalesce("own", F.lit(0))).alias("definitions")).where("definitions > 0")
+
+
 def calls(chunks: DataFrame) -> DataFrame:
-    """(src, dst, type): from each chunk to the callable chunks of its repository whose name it calls, but itself."""
+    """(src, dst, type): from each chunk to the callable chunks of its repository whose name it calls, but itself.
+
+    The rows are calls times definitions, as every one is an edge; adaptive execution splits a name that is called from
+    everywhere. ``call_links`` is the form whose size doesn't grow with the definitions of a name.
+    """
     callable_ = chunks.where(F.col("kind").isin(*CALLABLE)).select("repo_id", F.col("symbol_name").alias("name"), F.col("chunk_id").alias("dst"))
     found = call_sites(chunks).join(callable_, ["repo_id", "name"]).where("src <> dst")
     return found.select("src", "dst", F.lit("calls").alias("type"), F.lit("calls").alias("via")).distinct()

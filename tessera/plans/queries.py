@@ -202,14 +202,18 @@ def error_kinds(spark: SparkSession, d: str) -> DataFrame:
 # --- sources --------------------------------------------------------------------------------------------------------
 
 
+# The SQL of these rules has its own values and works on path parts, not on the patterns that the operators compile.
 def _language_sql(path: str) -> str:
-    cases = " ".join(f"when '{k}' then '{v}'" for k, v in T.SUFFIX_LANGUAGE.items())
-    return f"(case lower(regexp_extract({path}, '[^/]\\.([^./]+)$', 1)) {cases} end)"
+    end = f"lower(regexp_extract({path}, '[^/]\\.([^./]+)$', 1))"
+    return f"""(case when {end} in ('py', 'pyi') then 'python' when {end} = 'go' then 'go' when {end} in ('js', 'jsx', 'mjs', 'cjs') then 'javascript' when {end} in ('ts', 'tsx') then 'typescript'
+when {end} = 'rs' then 'rust' when {end} in ('c', 'h') then 'c' when {end} in ('cc', 'cpp', 'cxx', 'hpp', 'hh', 'hxx') then 'cpp' when {end} = 'java' then 'java' end)"""
 
 
 def _ignored_sql(path: str) -> str:
-    hit = " or ".join("regexp_matches({}, '{}')".format(path, src.glob_regex(p).replace("'", "''")) for p in src.DEFAULT_IGNORE)
-    return f"({hit})"
+    parts = f"string_split(regexp_replace({path}, '^(\\./|/)+', ''), '/')"
+    folders = "'.git', '.idea', '.vscode', 'node_modules', 'vendor', 'third_party', '.venv', 'venv', 'env', 'ENV', 'site-packages', 'dist', 'build', 'target', 'out', '__pycache__', '.mypy_cache', '.ruff_cache', '.pytest_cache'"
+    ends = " or ".join(f"ends_with(x, '{e}')" for e in (".gen.go", ".pb.go", ".pb.cc", ".pb.h", "_pb2.py", "_pb2_grpc.py", ".min.js", ".min.css", ".map"))
+    return f"""(len(list_filter({parts}[:-2], lambda x: x in ({folders}) or ends_with(x, '.egg-info'))) > 0 or len(list_filter({parts}, lambda x: contains(x, '.generated.') or {ends})) > 0)"""
 
 
 @query(f"select file_id, {_language_sql('path')} detected from walked_files group by 1, 2")
@@ -333,6 +337,31 @@ def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
     return fusion.evaluate(ranked, want)
 
 
+@query(f"""with {INDEX}, want as (select parsed_id query_id, max(docstring) text, max(file_path) file, max(symbol_name) symbol from parsed_chunks where parsed_id % 20 = 0 and docstring is not null group by 1),
+asked as materialized (select query_id, term, count(*) qtf from (select query_id, unnest({_tokens("text")}) term from want) group by 1, 2),
+scored as (select query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score from asked join postings using (term) join lengths using (id) join terms using (term) cross join stats group by query_id, id),
+r as (select query_id, id, rank from (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) rank from scored) where rank <= 5 and score > 0),
+b as (select w.query_id, min(rank) best from want w join r on r.query_id = w.query_id join chunks on chunk_id = id and file_path = w.file and symbol_name = w.symbol group by 1)
+select count(*) cases, round(avg(coalesce(1.0::double / best, 0)), 6) mrr, round(avg((best is not null)::int::double), 6) recall from want left join b using (query_id)""")
+def known_item_eval(spark: SparkSession, d: str) -> DataFrame:
+    """MRR and recall at 5 of finding a symbol's chunk by its documentation, for every 20th parsed symbol."""
+    p = table(spark, d, "parsed_chunks").where("parsed_id % 20 = 0 and docstring is not null")
+    want = written(p.groupBy(F.col("parsed_id").alias("query_id")).agg(F.max("docstring").alias("text"), F.max("file_path").alias("file"), F.max("symbol_name").alias("symbol")), "wanted")
+    ranked = bm25.top_k(bm25.scores(_index(spark, d), want.select("query_id", "text")), 5)
+    found = ranked.join(chunks(spark, d).select(F.col("chunk_id").alias("id"), F.col("file_path").alias("file"), F.col("symbol_name").alias("symbol")), "id")
+    return fusion.evaluate(found, want.select("query_id", "file", "symbol"))
+
+
+@query(f"""with {ANSWERS}, c as (select answer_id, regexp_extract_all(text, '{T.CITATION}', 0) c, regexp_split_to_array(text, '{T.CITATION}') p from answers)
+select answer_id, len(c) citations, len(list_filter(p, lambda x: x <> '')) prose, len(text) - len(array_to_string(p, '')) cited_chars from c join answers using (answer_id)""")
+def answer_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Answers parted into prose and citations."""
+    s = answers(spark, d).select("answer_id", "text", T.segments(F.col("text")).alias("s"))
+    of = lambda kind: F.filter("s", lambda x: x["kind"] == kind)
+    prose = F.aggregate(of("prose"), F.lit(0), lambda n, x: n + F.length(x["text"]))
+    return s.select("answer_id", F.size(of("citation")).cast("long").alias("citations"), F.size(of("prose")).cast("long").alias("prose"), (F.length("text") - prose).cast("long").alias("cited_chars"))
+
+
 @query(f"""with {RERANKED} select query_id, md5(string_agg(printf('[%s:%d-%d]  %s (%s, %s)', file_path, start_line, end_line, coalesce(symbol_name, '<module>'), coalesce(kind, ''), {_language_sql('file_path')}) || chr(10) || body, chr(10) || chr(10) order by rank)) prompt, count(*) parts
 from reranked join chunks on chunk_id = id group by query_id""")
 def prompt_render(spark: SparkSession, d: str) -> DataFrame:
@@ -354,6 +383,15 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.calls(chunks(spark, d)).select("src", "dst")
 
 
+@query(f"""with {CHUNKS}, {EDGES}, own as (select chunk_id, repo_id, symbol_name from chunks where kind in ('function', 'method', 'constructor')),
+defs as (select repo_id, symbol_name, count(*) n from own group by 1, 2)
+select src, name, n - (o.chunk_id is not null)::int definitions from sites s join defs d on d.repo_id = s.repo_id and d.symbol_name = name
+left join own o on o.chunk_id = src and o.repo_id = s.repo_id and o.symbol_name = name where n - (o.chunk_id is not null)::int > 0""")
+def call_links(spark: SparkSession, d: str) -> DataFrame:
+    """Calls by name with how many definitions they may mean: one row a call, however common the name."""
+    return graph.call_links(chunks(spark, d)).select("src", "name", "definitions")
+
+
 def _imports(c: DataFrame) -> DataFrame:
     return c.select(F.col("chunk_id").alias("src"), "repo_id", F.explode(parsing.imported_names()).alias("name"))
 

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import bm25, chunking, drift, fusion, graph, grounding, parsing, store, vectors
+from tessera.session import spread
 from tessera.sources import files as src
 from tessera.streaming import progress
 
@@ -218,3 +220,60 @@ def test_nearest_with_queries_of_other_lengths(spark, monkeypatch, most):
         near = sorted((-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 6), k) for k, w in rows if len(w) == len(v))
         want |= {(q, n): k for n, (_, k) in enumerate(near[:4], 1)}
     assert got == want and len({q for q, _ in got}) == 15
+
+
+def test_segments_softmax_and_names(spark):
+    rows = spark.createDataFrame([(1, "See [a.py:1-2] and [b.py:7]. End", "/src/demo.git/"), (2, "[a.py:1]", "git@host:team/tool.git"), (3, "none", "x"), (4, "", ""), (5, None, None)], "id long, text string, place string")
+    got = {r.id: r.s and [tuple(x) for x in r.s] for r in rows.select("id", T.segments(F.col("text")).alias("s")).collect()}
+    assert got == {1: [("prose", "See "), ("citation", "a.py:1-2"), ("prose", " and "), ("citation", "b.py:7-7"), ("prose", ". End")], 2: [("citation", "a.py:1-1")], 3: [("prose", "none")], 4: [], 5: None}
+    assert {r.id: r.n for r in rows.select("id", T.base_name(F.col("place")).alias("n")).collect()} == {1: "demo", 2: "tool", 3: "x", 4: "", 5: None}
+    z = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1000.0, 1000.0],), ([],), (None,)], "z array<double>").select(T.softmax(F.col("z")).alias("p")).collect()
+    assert [round(x, 6) for x in z[0].p] == [0.090031, 0.244728, 0.665241] and z[1].p == [0.5, 0.5] and z[2].p is None and z[3].p is None
+
+
+def test_model_seams(spark):
+    logits = grounding.from_logits(lambda p, h: F.when(F.contains(p, h), F.array(F.lit(0.0), F.lit(50.0), F.lit(0.0))).otherwise(F.array(F.lit(50.0), F.lit(0.0), F.lit(0.0))))
+    a = spark.createDataFrame([(1, "yes."), (2, "no.")], "answer_id long, text string")
+    p = spark.createDataFrame([(1, "c", "oh yes. it is"), (2, "d", "it isn't")], "answer_id long, chunk_id string, premise string")
+    assert {r.answer_id: r.score for r in grounding.ground(a, p, logits).collect()} == {1: 1.0, 2: 0.0}
+    rows = spark.createDataFrame([(1, "a", 1, "q", "long text"), (1, "b", 2, "q", "x")], "query_id long, id string, rank long, query string, text string")
+    assert [r.id for r in fusion.rerank(rows, 2, lambda query, text: -F.length(text)).orderBy("rank").collect()] == ["b", "a"]
+    parsed = spark.createDataFrame([(1, "a.py", "f", "one\ntwo\nthree", 1)], "parsed_id long, file_path string, symbol_name string, body string, start_line int")
+    assert chunking.split_symbols(parsed, chunking.ChunkConfig(10, 2, 1), len).count() > 1
+    cited = spark.createDataFrame([(1, "c")], "answer_id long, chunk_id string")
+    context = spark.createDataFrame([(1, "c", "x"), (1, "d", "y"), (2, "e", "z")], "answer_id long, chunk_id string, premise string")
+    assert {tuple(r) for r in grounding.premises_of(cited, context).collect()} == {(1, "c", "x"), (2, "e", "z")}
+
+
+def test_cache(spark, tmp_path):
+    cache = store.Cache(spark, str(tmp_path / "cache"))
+    wanted = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "key string, n int")
+    assert cache.get(wanted).count() == 0 and (cache.hits, cache.misses) == (0, 2)
+    calls = []
+
+    def make(rows):
+        calls.append(sorted({r.key for r in rows.collect()}))
+        return rows.select("key", F.concat("key", F.lit("!")).alias("value"))
+
+    for _ in range(2):
+        assert {tuple(r) for r in cache.get_or_set(wanted.distinct(), make).collect()} == {("a", "a!"), ("b", "b!")}
+    assert calls == [["a", "b"], []]
+    cache.set(spark.createDataFrame([("a", "new")], "key string, value string"))
+    assert {tuple(r) for r in cache.entries().collect()} == {("a", "new"), ("b", "b!")}
+    assert cache.invalidate(spark.createDataFrame([("a",), ("zz",)], "key string")) == 1
+    assert {r.key: r.present for r in cache.has(wanted).collect()} == {"a": False, "b": True}
+    cache.clear()
+    assert cache.entries().count() == 0 and (cache.hits, cache.misses) == (0, 0)
+    assert store.valid_requests(spark.createDataFrame([("p", None), (None, "u"), (None, None)], "path string, url string")).count() == 2
+
+
+def test_call_links(spark):
+    got = {(r.src, r.name): r.definitions for r in graph.call_links(_chunks(spark)).collect()}
+    assert got == {("d", "helper"): 1, ("S", "driver"): 1, ("S", "run"): 1, ("u", "driver"): 1}
+
+
+def test_spread_runs_nothing(spark):
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    small = spark.range(10).toDF("id")
+    spread(small.groupBy("id").count())
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before and spread(small).count() == 10
