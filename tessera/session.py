@@ -48,17 +48,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan dealt over all cores where its files give fewer splits than the cluster has cores.
 
-    A small parquet file is one split, so the Python stages after it would run in one task. The splits are told from the size
-    of the files that the plan reads, without running anything; what is shuffled is less than a split for each core. Larger
-    inputs are left alone. For plans with a shuffle in them use ``by_key``.
+    A small parquet file is one split, so the Python stages after it would run in one task. Inputs with enough splits are left
+    alone (no shuffle). The splits are those of the planned scan, and nothing is run to count them: a plan with a shuffle in it
+    is dealt over the cores as it is.
     """
     spark = df.sparkSession
     plain_unions(spark)
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
-    return df.repartition(cores) if size < cores * split else df
+    planned = df._jdf.queryExecution()
+    shuffles = planned.executedPlan().nodeName().startswith("AdaptiveSparkPlan") or "Exchange" in planned.executedPlan().toString()
+    return df.repartition(cores) if shuffles or planned.toRdd().getNumPartitions() < cores else df
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
