@@ -89,44 +89,74 @@ def _words(text: str) -> str:
     return "|".join(text.split())
 
 
-def _rules(language: str) -> list[tuple[str, re.Pattern[str]]]:
-    """Neighbours that the language's grammar doesn't allow, to be searched for in blanked code."""
-    kw = _words(KEYWORDS[language])
-    # capitals are macros there, which may stand for anything
-    name = rf"(?!(?:{kw})\b){_WORD}" if language not in ("c", "cpp") else rf"(?!(?:{kw}|[A-Z][A-Z0-9_]*)\b){_WORD}"
+_CODE_TOKEN = re.compile(r"[A-Za-z_$][\w$]*|[^\W\d]\w*|\d[\w.]*|[^\w\s]|\n")
+# The signs of words by which rules tell them from other keywords ("k"); the type names are Java's.
+_SIGN_OF = {w: s for s, words in {"r": "return throw break continue goto", "c": "if while switch", "e": "else", "O": "operator"}.items() for w in words.split()}
+_JAVA_TYPES = set("int long short byte char float double boolean".split())
+
+
+class _Signs(dict):
+    """The sign of each token of blanked code: n name, u name in other letters, M macro, 0 number, s literal, k keyword, t type,
+    those of _SIGN_OF, or the character itself. A text's signs are its shape, in which neighbours stand side by side."""
+
+    def __init__(self, language: str) -> None:
+        self.language, self.keywords = language, set(KEYWORDS[language].split())
+
+    def __missing__(self, token: str) -> str:
+        first = token[0]
+        if token in self.keywords:
+            sign = "t" if self.language == "java" and token in _JAVA_TYPES else _SIGN_OF.get(token, "k")
+        elif first.isdigit():
+            sign = "0"
+        elif first.isalpha() or first in "_$":
+            macro = self.language in ("c", "cpp") and re.fullmatch("[A-Z][A-Z0-9_]*", token)  # which may stand for anything
+            sign = "M" if macro else "n" if first.isascii() else "u"
+        else:
+            sign = {"\x01": "s", "\x02": "'"}.get(first, first)
+        if len(self) > 1 << 18:
+            self.clear()
+        self[token] = sign
+        return sign
+
+
+def _shape_rules(language: str) -> list[tuple[str, re.Pattern[str]]]:
+    """Neighbours that the language's grammar doesn't allow, to be searched for in the shape of blanked code."""
     row = {"javascript": 2, "typescript": 2, "java": 3, "go": 3, "rust": 2, "c": 4, "cpp": 4}[language]
     out = [
-        ("words in a row", rf"(?<![\w$.@#'])(?<!\d)(?:{name})(?:[ \t]+(?:{name})){{{row - 1}}}(?![\w$!]" + (r"|[ \t]*\(" if language in ("c", "cpp") else "") + ")"),
-        ("operands in a row", rf"(?<![\w$.])(?:{name}|\d[\w.]*)[ \t]+\d[\w.]*"),
-        ("operands in a row", rf"(?<![\w$.])\d[\w.]*[ \t]+{name}(?![\w$])" if language != "cpp" else r"(?!)"),
-    ]
-    # operators without an operand: before what closes or ends, at the start of what opens, and one after another
-    out += [
-        ("operand missing", r"[-=+%^/](?=\s*[;)\]}])(?<![=!<>.\[(*+/%&|^-]=)(?<!\+\+)(?<!--)(?<!//)" + ("" if language != "cpp" else r"(?<![r(].)")),
-        ("operand missing", r"[(\[=]\s*(?:[%^]|\|\|(?!\s*[\w&(\[{*!\x01-])|/(?![\w(*&\[]))\s*[\w(\x01]"),
+        ("words in a row", rf"n{{{row}}}(?<![.@#'].{{{row}}})" + (r"(?![!(])" if language in ("c", "cpp") else "(?!!)")),
+        ("operands in a row", r"[n0]0(?<!\...)" + ("" if language == "cpp" else r"|0n(?<!\...)")),
+        # before what closes or ends, at the start of what opens, and one after another
+        ("operand missing", r"[-=+%^/](?=\n*[;)\]}])(?<![=!<>.\[(*+/%&|^-]=)(?<!\+\+)(?<!--)(?<!//)" + (r"(?<![O(].)" if language == "cpp" else "")),
+        ("operand missing", r"[(\[=]\n*(?:[%^]|/(?![a-zM0u(*&\[]))\n*[a-zM0u(]"),
     ]
     if language in ("javascript", "typescript", "java"):
-        out += [
-            ("operand missing", r"[-+/%^][ \t]*[*%^]|[(\[=][ \t]*[*%/^][ \t]*\w"),
-            ("operand missing", r"(?<![\w$.])(?:if|while|switch)[ \t]*\([ \t\n]*\)"),
-        ]
+        out += [("operand missing", r"[-+/%^][*%^]|[(\[=][*%/^][a-z0u]")]
+    if language in ("javascript", "typescript", "java", "c", "cpp"):
+        out += [("operand missing", r"c\n*\(\n*\)(?<!\.c..)")]
     if language in ("java", "c", "cpp"):
-        out += [
-            ("statement without its end", r"(?<![\w$.])(?:return|throw|break|continue|goto)\b[^;{}:]*\}"),
-            ("operand missing", r"(?<![\w$.])(?:if|while|switch)[ \t]*\([ \t\n]*\)|,\s*;"),
-        ]
+        out += [("statement without its end", r"r(?<!\..)[^;{}:]*\}"), ("operand missing", r",\n*;")]
     if language == "java":
         out += [
-            ("operand missing", r",\s*[,)]|\([ \t]*,"),
-            ("statement without its end", r"(?<![=!<>])=(?!=)[^;{}(),]*\}"),
-            ("branch without its statement", r"[\w\x01)\]]\s*(?<![\w$.])else\b"),
-            ("type without a name", rf"(?<![\w$.])(?:{name})[ \t]*\((?:[^()]*,)?\s*(?:int|long|short|byte|char|float|double|boolean)\s*[,)]"),
+            ("operand missing", r",\n*[,)]|\(,"),
+            ("statement without its end", r"=(?<![=!<>]=)(?!=)[^;{}(),]*\}"),
+            ("branch without its statement", r"[a-z0u)\]]\n*e"),
+            ("type without a name", r"n\((?<!\.n\()(?:[^()]*,)?\n*t[,)]"),
         ]
     if language == "go":
-        out += [
-            ("operand missing", r",\s*,|\([ \t]*,"),
-            ("branch without its statement", r"\n\s*else\b|[ \t](?<=[^}\s][ \t])else\b"),
-        ]
+        out += [("operand missing", r",\n*,|\(,"), ("branch without its statement", r"\n+e|[^}\n]e")]
+    return [(why, re.compile(rule)) for why, rule in out]
+
+
+_SIGNS: dict[str, _Signs] = {}
+_SHAPE_RULES: dict[str, list[tuple[str, re.Pattern[str]]]] = {}
+
+
+def _rules(language: str) -> list[tuple[str, re.Pattern[str]]]:
+    """Neighbours that the language's grammar doesn't allow, to be searched for in blanked code."""
+    kw = _words(KEYWORDS[language])
+    # capitals are macros there, which may stand for anything
+    name = rf"(?!(?:{kw})\b){_WORD}" if language not in ("c", "cpp") else rf"(?!(?:{kw}|[A-Z][A-Z0-9_]*)\b){_WORD}"
+    out = []
     if language in ("javascript", "typescript", "java", "c", "cpp"):
         out.append(("statement without its bracket", r"(?<![\w$.#@])(?:if|while|switch|for)\b(?![ \t\n]*(?:\(|constexpr|consteval|!|await\b" + (r"|(?:_?[A-Z][A-Z0-9_]*|\w*likely)[ \t]*\(" if language in ("c", "cpp") else "") + r"))(?![ \t]*[:=,)\]};?.<])"))
     if language in ("javascript", "typescript"):
@@ -338,7 +368,11 @@ def fault(text: str, language: str) -> str | None:
     if begins:
         return begins
     if language not in _RULES:
-        _RULES[language] = _rules(language)
+        _RULES[language], _SHAPE_RULES[language], _SIGNS[language] = _rules(language), _shape_rules(language), _Signs(language)
+    shape = "".join(map(_SIGNS[language].__getitem__, _CODE_TOKEN.findall(code)))
+    for why, rule in _SHAPE_RULES[language]:
+        if rule.search(shape):
+            return why
     for why, rule in _RULES[language]:
         if rule.search(code):
             return why
