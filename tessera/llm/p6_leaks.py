@@ -262,12 +262,12 @@ class Items:
             both, count = np.unique(pair, return_counts=True)
             found = np.union1d(found, both[count >= self.needed[both % n_items]])
         full = {p: f for p in found.tolist() if (f := self._figures(words, *divmod(p, n_items)))[3]}
-        # with full leaks only, near windows are looked for just where there are any
-        edits_of = self._edits(words if near else [w if t in {p // n_items for p in full} else [] for t, w in enumerate(words)]) if near or full else {}
-        for p in sorted({*full, *edits_of} if near else full):
+        edits_of = self._edits(words) if near else {}
+        for p in sorted({*full, *edits_of}):
             t, i = divmod(p, n_items)
             longest, shared, runs, _ = full.get(p) or self._figures(words, t, i)
-            yield t, self.ids[i], longest, shared, runs, edits_of.get(p, c.max_edits + 1)
+            whole = longest >= min(c.run, len(self.words[i]))
+            yield t, self.ids[i], longest, shared, runs, 0 if whole else edits_of.get(p, c.max_edits + 1)
 
     def _figures(self, words: list[list[str]], t: int, i: int) -> tuple[int, int, int, bool]:
         """Longest common run, shared runs and all runs of a text and an item, and whether that is a leak."""
@@ -333,7 +333,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
     A document contains an item if it has ``run`` consecutive words of its reference_answer, or at least ``share`` of the
     distinct runs of ``short`` consecutive words of it. With ``near``, windows of ``run`` words with at most ``max_edits``
     word edits count too, and those as long as a shorter answer with as many in proportion (1 of 5 to 8 words, 2 of 9 to 12);
-    of windows with the most edits, the configuration's ``recall`` is found. Null ids take no part; null or empty texts and answers contain nothing; an answer of fewer than
+    of windows with the most edits, the configuration's ``recall`` is found. ``edits`` are those of the closest window, 0 if a
+    whole one is equal, and more than ``max_edits`` if none is near or near ones weren't looked for. Null ids take no part; null or empty texts and answers contain nothing; an answer of fewer than
     ``short`` words can't leak. Repeated documents or items give one row. Texts are read whole. An item block holds at
     most ``block_words`` words, measured before it is broadcast (or one item that is longer); with more items there are more
     blocks, each over all documents.
