@@ -8,12 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: File suffix -> language, and other spellings of the languages.
-SUFFIX_LANGUAGE = {
-    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
-    "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "rs": "rust", "c": "c", "h": "c",
-    "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp",
-}
+from tessera.functions.text import SUFFIX_LANGUAGE
+
+# Other spellings of the languages.
 LANGUAGE_SPELLING = {
     "py": "python", "python3": "python", "js": "javascript", "node": "javascript", "ts": "typescript",
     "golang": "go", "rs": "rust", "c++": "cpp", "cxx": "cpp", "cc": "cpp",
