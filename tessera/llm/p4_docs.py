@@ -282,7 +282,7 @@ def pairs(chunks: DataFrame) -> DataFrame:
     rows = written(document_chunks(chunks), "p4-chunks")
     place = F.min(F.struct("repo_id", "file_path", "symbol_name", "language", "start_line", "end_line")).alias("at")
     own = F.min(F.when(F.col("description") != "", F.col("description"))).alias("description")
-    functions = written(rows.where("kind = 'function'").groupBy("parsed_id").agg(own, place).select("parsed_id", "description", "at.*"), "p4-functions")
+    functions = rows.where("kind = 'function'").groupBy("parsed_id").agg(own, place).select("parsed_id", "description", "at.*")
     classes = rows.where("kind = 'class'").groupBy(F.col("parsed_id").alias("class_id")).agg(place, F.flatten(F.collect_set("parents")).alias("parents"))
     classes = classes.select("class_id", "at.repo_id", "at.language", "at.file_path", F.col("at.symbol_name").alias("class_name"), F.col("at.start_line").alias("class_start"), F.col("at.end_line").alias("class_end"), F.array_distinct("parents").alias("parents"))
     classes = written(classes, "p4-classes")
@@ -300,9 +300,10 @@ def pairs(chunks: DataFrame) -> DataFrame:
         step = waiting.join(above.withColumnRenamed("class_id", "at"), "at").select("parsed_id", "symbol_name", F.col("parent_id").alias("at")).distinct()
         climbed = written(step.join(seen, ["parsed_id", "at"], "left_anti"), "p4-level")
         found = climbed.join(donors, ["at", "symbol_name"]).groupBy("parsed_id").agg(F.min_by("inherited", "at").alias("inherited"), F.lit(level).alias("above"))
-        parts.append(written(found, "p4-found"))
         if not climbed.limit(1).count():
+            parts.append(found)
             break
+        parts.append(written(found, "p4-found"))
         waiting, seen = climbed.join(parts[-1], "parsed_id", "left_anti"), seen.unionByName(climbed.select("parsed_id", "at"))
     inherited = functools.reduce(DataFrame.unionByName, parts)
     both = functions.join(inherited, "parsed_id", "left").select("parsed_id", F.coalesce("description", "inherited").alias("description"), F.when(F.col("description").isNotNull(), 0).otherwise(F.col("above")).alias("levels"))
