@@ -36,7 +36,7 @@ CASES = [
 ]
 
 
-#: Notices as public tools write them; none of their wordings is in the operator.
+#: Notices as public tools write them; the operator holds words, not these sentences.
 NOTICES = """Code generated by protoc-gen-go. DO NOT EDIT.
 This file was automatically generated by SWIG (http://www.swig.org).
 A Bison parser, made by GNU Bison 3.8.2.
